@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, urls, warc, wavelet
+from . import dartminhash, embeddings, language, licences, mixing, packing, topk, urls, warc, wavelet
 from .storage import Scratch
 
 
@@ -27,14 +27,31 @@ URL_RULES = (
 )
 
 
+def op1_license_scan(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = licences.train(licences.sample_paragraphs(documents))
+    return licences.scan(documents, model)
+
+
 def op2_url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_exact_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), tokenizer_path())
 
 
+def op5_language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = language.fit(documents, Scratch(spark, "op5"))
+    carry = [F.col("doc_id"), language.held_out(F.col("doc_id")).alias("held_out")]
+    return language.identify(documents, model, carry)
+
+
 def op6_warc(spark, sf_dir):
     scratch = Scratch(spark, "op6")
     archives = warc.write_archives(table(spark, sf_dir, "pages"), scratch)
@@ -50,6 +67,17 @@ def op8_wavelet_output(spark, sf_dir):
     return wavelet.read_shards(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_best_fit_packing, op6_warc, op7_source_mix, op8_wavelet_output)}
+def op9_dart_minhash(spark, sf_dir):
+    return dartminhash.classes(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+
+
+def op10_itq_near_dup(spark, sf_dir):
+    return embeddings.link(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_url_filter, op3_exact_topk, op4_best_fit_packing, op5_language_id, op6_warc, op7_source_mix, op8_wavelet_output, op9_dart_minhash, op10_itq_near_dup)
+}
 
 ORACLE_SQL: dict[str, str] = {}
