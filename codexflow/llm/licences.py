@@ -134,7 +134,7 @@ def _variants(text: str, rng: np.random.Generator, filler: list[str], count: int
     return out
 
 
-def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int = 400, rate: float = 0.5, penalty: float = 1e-3) -> Model:
+def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int = 1500, rate: float = 0.5, penalty: float = 1e-3) -> Model:
     """Fit on the notices and on paragraphs of the corpus that count as no notice."""
     rng = np.random.default_rng(seed)
     families = [*sorted(NOTICES), UNKNOWN]
@@ -146,9 +146,9 @@ def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int
             texts += got
             label += [k] * len(got)
     notice_words = {w for t in NOTICES.values() for n in t for w in _tokens(n)}
-    # Corpus paragraphs that hold a notice's rarer words might be notices themselves and are not used.
+    # Corpus paragraphs that hold one of these words might be notices themselves and are not used.
     plain_words = {w for p in OTHERS for w in _tokens(p)} | {w for p in paragraphs for w in _tokens(p)}
-    rare = {w for w in notice_words if w in {"license", "licensed", "copyright", "spdx-license-identifier", "gnu", "mit", "apache", "cc0"}}
+    rare = {w for w in notice_words if w in {"license", "licensed", "copyright", "spdx-license-identifier"}}
     for p in [*OTHERS * 6, *(p for p in paragraphs if not rare & set(_tokens(p)))]:
         texts.append(p)
         label.append(len(families) - 1)
@@ -167,7 +167,6 @@ def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int
     importance = (y[~apart] * share).sum(axis=1, keepdims=True)
     importance /= importance.sum()
     w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
-    b[-1] = 2.0
 
     def soft(z):
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -179,7 +178,7 @@ def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int
         b -= rate * error.sum(axis=0)
     z, truth = x[apart] @ w + b, y[apart].astype(bool)
     heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=lambda t: -np.log(np.maximum(soft(z / t)[truth], 1e-12)).mean())
-    b[-1] = max(b[-1], b[:-1].max() + heat * np.log(3 * len(families)))  # without a cue the answer is unknown
+    b[-1] = max(b[-1], b[:-1].max() + heat * np.log(len(families)))  # without a cue the answer is unknown
     return Model(families, cues, {g: (w[n] / heat).tolist() for g, n in at.items()}, (b / heat).tolist())
 
 
@@ -208,7 +207,13 @@ def scan_paragraphs(paragraphs: DataFrame, model: Model, least: float = 0.5, sha
     spark = paragraphs.sparkSession
     distinct = paragraphs.select("paragraph").distinct()
     words = F.regexp_extract_all(F.lower("paragraph"), F.lit(TOKEN), F.lit(0))
-    grams = F.flatten(F.array(*[F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i, n=n: F.array_join(F.slice(F.col("words"), i, n), " "))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+
+    def runs(n: int) -> Column:
+        first = F.sequence(F.lit(1), F.size("words") - (n - 1))
+        none = F.array().cast("array<string>")
+        return F.when(F.size("words") >= n, F.transform(first, lambda i: F.array_join(F.slice(F.col("words"), i, n), " "))).otherwise(none)
+
+    grams = F.concat(runs(1), runs(2), runs(3))
     table = distinct.withColumn("words", words).select("paragraph", F.explode(F.array_distinct(grams)).alias("gram"))
     names = [f"w{k}" for k in range(len(model.families))]
     weights = _local(spark, [{"gram": g} | dict(zip(names, w, strict=True)) for g, w in model.weights.items()], "gram: string, " + ", ".join(f"{n}: double" for n in names))
