@@ -80,4 +80,87 @@ QUERIES = {
     for f in (op1_license_scan, op2_url_filter, op3_exact_topk, op4_best_fit_packing, op5_language_id, op6_warc, op7_source_mix, op8_wavelet_output, op9_dart_minhash, op10_itq_near_dup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP2 = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(coalesce(rest, ''), length(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut
+), rules(verdict, rule, rhost, rpath) AS (
+  VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+         ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
+), best AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+)
+SELECT parts.page_id, host, path, best.rule, coalesce(best.verdict, 'allow') AS verdict FROM parts LEFT JOIN best ON parts.page_id = best.page_id
+"""
+
+_OP3 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+_OP6 = """
+WITH held AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), hashed AS (
+  SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex FROM held
+), named AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), 'string_agg', '') AS payload_digest,
+         min(page_id) OVER (PARTITION BY hex) AS first_id FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM named
+"""
+
+_OP9 = """
+WITH RECURSIVE texts AS (
+  SELECT text, min(doc_id) AS rep FROM documents WHERE text IS NOT NULL GROUP BY text
+), words AS (
+  SELECT rep, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM texts
+), runs AS (
+  SELECT rep, array_to_string(w[i : i + 4], ' ') AS run FROM (SELECT rep, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)
+), counts AS (
+  SELECT rep, run, count(*) AS n FROM runs GROUP BY ALL
+), sizes AS (
+  SELECT rep, sum(n) AS size FROM counts GROUP BY rep
+), shared AS (
+  SELECT a.rep AS a, b.rep AS b, sum(least(a.n, b.n)) AS inter FROM counts a JOIN counts b ON a.run = b.run AND a.rep < b.rep GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE inter >= 0.8 * (x.size + y.size - inter)
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT rep, rep FROM texts UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+), label AS (
+  SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(texts.rep, doc_id) AS copy_of, doc_id = coalesce(class_id, doc_id) AS kept
+FROM documents LEFT JOIN texts ON documents.text = texts.text LEFT JOIN label ON texts.rep = label.rep
+"""
+
+_OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), label AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT label.vec_id, (SELECT count(*) FROM links WHERE links.a = label.vec_id) AS n_links, component_id, label.vec_id = component_id AS kept FROM label
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": _OP2, "op3_exact_topk": _OP3, "op6_warc": _OP6, "op9_dart_minhash": _OP9, "op10_itq_near_dup": _OP10}
