@@ -103,14 +103,16 @@ def pack(documents: DataFrame, scratch: Scratch, tokenizer_path: str, end_id: in
                     rows.append((*piece, number, offset, task, closed))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(enc.ids(text.as_py()) + end)
-                n, at, k = len(ids) // 4, 0, 0
-                while at < n:
-                    size = (n - at) % capacity or capacity
-                    piece = (doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]))
-                    emit(packer.add(piece, size))
-                    at, k = at + size, k + 1
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for doc, found in zip(part.column(0).to_pylist(), enc.batch(part.column(1).to_pylist()), strict=True):
+                    ids = memoryview(found.astype("<u4", copy=False).tobytes() + end)
+                    n, at, k = len(ids) // 4, 0, 0
+                    while at < n:
+                        size = (n - at) % capacity or capacity
+                        piece = (doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]))
+                        emit(packer.add(piece, size))
+                        at, k = at + size, k + 1
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows.clear()

@@ -214,9 +214,9 @@ def write_shards(documents: DataFrame, scratch: Scratch, tokenizer_path: str, en
         from pyspark import TaskContext
 
         pid, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         attempt, shard, before = uuid.uuid4().hex[:8], 0, 0
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         docs: list[int | None] = []
         lengths: list[int] = []
         held = 0
@@ -224,7 +224,7 @@ def write_shards(documents: DataFrame, scratch: Scratch, tokenizer_path: str, en
         def flush():
             nonlocal shard, before, held
             path = f"{folder}/part-{pid:06d}-{shard:05d}-{attempt}.cfwm"
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             with open_out(path) as out:
                 write_matrix(out, ids, docs, np.array(lengths, np.int64))
             row = [pid, shard, path, len(docs), len(ids), before]
@@ -236,14 +236,15 @@ def write_shards(documents: DataFrame, scratch: Scratch, tokenizer_path: str, en
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.ids(text.as_py())
-                parts += (ids, end)
-                docs.append(doc)
-                lengths.append(len(ids) // 4 + 1)
-                held += lengths[-1]
-                if held >= shard_tokens:
-                    yield flush()
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for doc, ids in zip(part.column(0).to_pylist(), enc.batch(part.column(1).to_pylist()), strict=True):
+                    parts += (ids, end)
+                    docs.append(doc)
+                    lengths.append(len(ids) + 1)
+                    held += lengths[-1]
+                    if held >= shard_tokens:
+                        yield flush()
         if docs:
             yield flush()
 
