@@ -206,3 +206,221 @@ SELECT a.book, words::BIGINT AS words, types, hapax, round(letters / words, 6) A
 round(206.835 - 1.015 * (words / sentences) - 84.6 * (syllables / words), 6) AS flesch, round(0.39 * (words / sentences) + 11.8 * (syllables / words) - 15.59, 6) AS grade FROM a JOIN b ON a.book = b.book""")
 def style_by_book(spark, sf_dir):
     return rounded(narrative.style(words(spark, sf_dir), relations.sentences(table(spark, sf_dir, "documents"))))
+
+
+# ---- narrative
+
+
+@query(f"WITH {_WORDS} SELECT book, seg, floor(seg * len(ws) / 10)::BIGINT AS start, floor((seg + 1) * len(ws) / 10)::BIGINT AS \"end\" FROM w, (SELECT unnest(range(0, 10))::INTEGER AS seg)")
+def segments_slices(spark, sf_dir):
+    return narrative.slices(words(spark, sf_dir), 10)
+
+
+@query(f"WITH {_WORDS}, t AS (SELECT sum(len(ws)) AS total FROM w) SELECT book, len(ws) AS words, greatest(1, round_even(len(ws) * 400.0::DOUBLE / total, 0))::BIGINT AS slices FROM w, t")
+def segments_share(spark, sf_dir):
+    return narrative.proportional(words(spark, sf_dir), 400)
+
+
+# A small lexicon of categories and valences for the synthetic vocabulary.
+_LEXICON = (("the", "article"), ("an", "article"), ("of", "link"), ("and", "link"), ("in", "place"), ("on", "place"), ("der", "article"), ("und", "link"), ("le", "article"), ("et", "link"))
+_VALENCE = (("the", 0.5), ("and", 1.0), ("of", -0.5), ("is", -1.5), ("und", 1.0), ("ist", -1.0), ("et", 1.0), ("est", -1.0))
+
+
+@query(f"""WITH {_STREAM}, x(word, category) AS (VALUES {", ".join(map(str, _LEXICON))}), g AS (SELECT book, word, floor((10 * (i + 1) - 1) / total)::INTEGER AS seg FROM s),
+n AS (SELECT book, seg, count(*) AS words FROM g GROUP BY ALL), h AS (SELECT book, seg, category, count(*) AS hits FROM g JOIN x ON g.word = x.word GROUP BY ALL)
+SELECT h.book, h.seg, category, hits, words, round(hits * 1000.0 / words, 6) AS per1k FROM h JOIN n ON h.book = n.book AND h.seg = n.seg""")
+def emotion_arc(spark, sf_dir):
+    lexicon = spark.createDataFrame(list(_LEXICON), "word string, category string")
+    return rounded(narrative.lexicon_arc(words(spark, sf_dir), lexicon))
+
+
+@query(f"""WITH {_SENT}, x(word, valence) AS (VALUES {", ".join(map(str, _VALENCE))}), u AS (SELECT book, sent, unnest(ws) AS word FROM sents), v AS (SELECT book, sent, sum(valence::DOUBLE) AS s FROM u JOIN x ON u.word = x.word GROUP BY ALL),
+l AS (SELECT book, max(sent) + 1 AS total FROM sents GROUP BY book), r AS (SELECT sents.book, floor((10 * (sents.sent + 1) - 1) / total)::INTEGER AS seg, coalesce(s / sqrt(s * s + 15), 0) AS score FROM sents JOIN l ON l.book = sents.book LEFT JOIN v ON v.book = sents.book AND v.sent = sents.sent)
+SELECT book, seg, count(*) AS sentences, round(avg(score), 6) + 0.0 AS mean, round(avg((score >= 0.05)::INT), 6) AS positive, round(avg((score <= -0.05)::INT), 6) AS negative FROM r GROUP BY ALL""")
+def sentiment_arc(spark, sf_dir):
+    valence = spark.createDataFrame(list(_VALENCE), "word string, valence double")
+    return rounded(narrative.sentiment_arc(relations.sentences(table(spark, sf_dir, "documents")), valence))
+
+
+_Z = f"""{_STREAM}, n AS (SELECT source AS text, word, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT text, sum(n) AS total FROM n GROUP BY text), top AS (SELECT word FROM n GROUP BY word ORDER BY sum(n) DESC, word LIMIT 100),
+f AS (SELECT t.text, top.word, coalesce(n, 0)::DOUBLE / total AS f FROM t CROSS JOIN top LEFT JOIN n ON n.text = t.text AND n.word = top.word),
+z AS (SELECT text, word, coalesce((f - avg(f) OVER (PARTITION BY word)) / nullif(stddev_pop(f) OVER (PARTITION BY word), 0), 0) AS z FROM f)"""
+
+
+def _by_source(spark, sf_dir):
+    return relations.stream(words(spark, sf_dir, "source"), "source").groupBy(F.col("source").alias("text"), "word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_Z} SELECT text, word, round(z, 6) + 0.0 AS z FROM z")
+def stylometry_z(spark, sf_dir):
+    return rounded(narrative.z_scores(_by_source(spark, sf_dir)))
+
+
+@query(f"""WITH {_Z} SELECT a.text AS a, b.text AS b, round(avg(abs(a.z - b.z)), 6) AS classic, round(1 - sum(a.z * b.z) / sqrt(sum(a.z * a.z) * sum(b.z * b.z)), 6) AS cosine, round(sqrt(sum((a.z - b.z) ** 2)), 6) AS euclidean
+FROM z a JOIN z b ON a.word = b.word AND a.text < b.text GROUP BY a.text, b.text""")
+def stylometry_deltas(spark, sf_dir):
+    return rounded(narrative.deltas(narrative.z_scores(_by_source(spark, sf_dir))))
+
+
+# ---- dialogue, with conversations as books and roles as speakers
+
+
+def _quotes(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("ord"), F.col("role").alias("speaker"), "text")
+
+
+_ADDR = """q AS (SELECT conv_id AS book, turn AS ord, role AS speaker, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+n AS (SELECT *, coalesce(speaker <> before, true) AS new FROM q), r AS (SELECT *, sum(new::INT) OVER (PARTITION BY book ORDER BY ord) AS run FROM n),
+f AS (SELECT book, run, min(before) FILTER (new) AS prev, min(speaker) AS who FROM r GROUP BY book, run),
+a AS (SELECT r.book, r.ord, r.speaker, r.new, r.run, CASE WHEN r.run > 1 THEN f.prev ELSE g.who END AS addressee FROM r JOIN f ON f.book = r.book AND f.run = r.run LEFT JOIN f g ON g.book = r.book AND g.run = r.run + 1),
+m AS (SELECT book, ord, speaker, addressee, CASE WHEN addressee IS NULL THEN NULL WHEN NOT new THEN 'continues' WHEN run > 1 THEN 'reply' ELSE 'next' END AS method FROM a)"""
+
+
+@query(f"WITH {_ADDR} SELECT * FROM m")
+def addressees(spark, sf_dir):
+    return dialogue.addressees(_quotes(spark, sf_dir)).select("book", "ord", "speaker", "addressee", "method")
+
+
+@query(f"WITH {_ADDR} SELECT speaker, addressee, count(*) AS quotes FROM m WHERE method IS NOT NULL GROUP BY ALL")
+def addressee_edges(spark, sf_dir):
+    return dialogue.addressee_edges(dialogue.addressees(_quotes(spark, sf_dir)))
+
+
+@query(r"""WITH q AS (SELECT role AS speaker, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM conversations),
+x AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: w IN ('i', 'me', 'my'))) AS f, len(list_filter(ws, lambda w: w IN ('you', 'your'))) AS s, len(list_filter(ws, lambda w: w IN ('we', 'us', 'our'))) AS p, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS l FROM q)
+SELECT speaker, count(*) AS quotes, sum(n)::BIGINT AS words, round(avg(n), 6) AS mean_words, median(n) AS median_words, round(100.0 * avg((contains(text, '?'))::INT), 6) AS questions, round(100.0 * avg((contains(text, '!') AND NOT contains(text, '?'))::INT), 6) AS exclaims,
+round(1000.0 * sum(f) / sum(n), 6) AS first_per1k, round(1000.0 * sum(s) / sum(n), 6) AS second_per1k, round(1000.0 * sum(p) / sum(n), 6) AS plural_per1k, round(sum(l) / sum(n), 6) AS word_len FROM x GROUP BY speaker""")
+def speaker_style(spark, sf_dir):
+    return rounded(dialogue.style_of_speech(_quotes(spark, sf_dir)))
+
+
+@query("SELECT role AS speaker, CASE WHEN contains(text, '?') THEN 'question' WHEN contains(text, '!') THEN 'exclaim' ELSE 'statement' END AS kind, count(*) AS n FROM conversations GROUP BY ALL")
+def sentence_types(spark, sf_dir):
+    return _quotes(spark, sf_dir).groupBy("speaker", dialogue.sentence_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH q AS (SELECT conv_id AS book, turn, role = 'user' AS speech, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n FROM conversations),
+e AS (SELECT *, sum(n) OVER (PARTITION BY book ORDER BY turn) AS e, sum(n) OVER (PARTITION BY book) AS total FROM q), u AS (SELECT book, speech, total, unnest(range((e - n)::BIGINT, e::BIGINT)) AS i FROM e)
+SELECT book, least(49, floor(50 * i / total))::INTEGER AS bin, count(*) AS words, round(100.0 * avg(speech::INT), 6) AS speech_pct FROM u GROUP BY ALL""")
+def dialogue_curve(spark, sf_dir):
+    spans = _quotes(spark, sf_dir).select("book", "ord", (F.col("speaker") == "user").alias("speech"), F.size(relations.word_array(F.col("text"))).alias("n"))
+    return rounded(dialogue.curve(spans))
+
+
+@query("""WITH v AS (SELECT conv_id AS book, turn AS para, CASE WHEN contains(text, '!') OR contains(text, '?') THEN NULL ELSE role END AS unit, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM conversations),
+l AS (SELECT *, lag(unit) OVER w AS bu, lag(x) OVER w AS bx FROM v WHERE unit IS NOT NULL WINDOW w AS (PARTITION BY book ORDER BY para)), r AS (SELECT *, sum((bu IS NULL OR bu <> unit OR x - bx - 1 > 1)::INT) OVER (PARTITION BY book ORDER BY para) AS run FROM l)
+SELECT book, unit, min(para) AS first, max(para) AS last, count(*) AS votes FROM r GROUP BY book, run, unit""")
+def narrator_runs(spark, sf_dir):
+    q = _quotes(spark, sf_dir)
+    unit = F.when(dialogue.sentence_type(F.col("text")) == "statement", F.col("speaker"))
+    return dialogue.runs(q.select("book", F.col("ord").alias("para"), unit.alias("unit")))
+
+
+_SESSION = """e AS (SELECT user_id, epoch_us(ts) AS at, event_id FROM events), d AS (SELECT *, at - lag(at) OVER (PARTITION BY user_id ORDER BY at) AS since FROM e),
+s AS (SELECT user_id, at, coalesce(sum((since > 3600000000)::INT) OVER (PARTITION BY user_id ORDER BY at), 0) AS session FROM d)"""
+
+
+@query(f"WITH {_SESSION} SELECT user_id, session::BIGINT AS session, count(*) AS events, max(at) - min(at) AS span_us FROM s GROUP BY user_id, session")
+def conversations_gap(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    rows = dialogue.sessions(events, F.lit(3_600_000_000), "user_id", "at")
+    return rows.groupBy("user_id", F.col("session").cast("long").alias("session")).agg(F.count("*").alias("events"), (F.max("at") - F.min("at")).alias("span_us"))
+
+
+# ---- entities and networks, with orders as containers and suppliers as entities
+
+_EDGES = "o AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS e FROM lineitem), g AS (SELECT x.e AS a, y.e AS b, count(*) AS weight FROM o x JOIN o y ON x.c = y.c AND x.e < y.e GROUP BY ALL)"
+
+
+def _edges(spark, sf_dir):
+    return network.edges(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("container")))
+
+
+@query(f"WITH {_EDGES} SELECT * FROM g")
+def network_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+_DEGREE = f"{_EDGES}, u AS (SELECT a AS node, weight FROM g UNION ALL SELECT b, weight FROM g), d AS (SELECT node, count(*) AS degree, sum(weight)::BIGINT AS strength FROM u GROUP BY node)"
+
+
+@query(f"WITH {_DEGREE} SELECT * FROM d")
+def network_degree(spark, sf_dir):
+    return network.degrees(_edges(spark, sf_dir))
+
+
+@query(f"WITH {_DEGREE}, t AS (SELECT node FROM d ORDER BY strength DESC, node LIMIT 20) SELECT g.* FROM g WHERE a IN (SELECT node FROM t) AND b IN (SELECT node FROM t)")
+def network_top_nodes(spark, sf_dir):
+    return network.strongest(_edges(spark, sf_dir), 20)
+
+
+@query(f"WITH {_EDGES} SELECT CASE WHEN a = 7 THEN b ELSE a END AS node, weight FROM g WHERE a = 7 OR b = 7 ORDER BY weight DESC, node LIMIT 20")
+def focus_neighbours(spark, sf_dir):
+    return network.neighbours(_edges(spark, sf_dir), 7)
+
+
+def network_measures(spark, sf_dir):
+    """Centralities of the strongest nodes; the graph that comes to the driver has at most 60 nodes."""
+    edges = [tuple(r) for r in network.strongest(_edges(spark, sf_dir), 60).collect()]
+    found = network.measures(edges)["nodes"]
+    names = ("degree", "strength", "betweenness", "closeness", "eigenvector", "clustering", "component")
+    rows = [(int(v), *(round(float(m[n]), 6) for n in names)) for v, m in sorted(found.items())]
+    return spark.createDataFrame(rows, "node long, " + ", ".join(f"{n} double" for n in names))
+
+
+QUERIES["network_measures"] = network_measures
+
+
+@query("""WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) + 1 AS hi FROM events)
+SELECT event_type AS entity, least(99, floor(100 * (epoch_us(ts) - lo) / (hi - lo)))::INTEGER AS bin, count(*) AS n FROM events, b GROUP BY ALL""")
+def presence_bins(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("entity"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    ends = events.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    lo, hi = ends["lo"] or 0, (ends["hi"] or 0) + 1
+    return entities.presence_bins(events, F.col("at") - lo, F.lit(hi - lo))
+
+
+_MENTION = "m AS (SELECT l_suppkey AS unit, l_returnflag AS book FROM lineitem), c AS (SELECT unit, book, count(*) AS n FROM m GROUP BY ALL)"
+
+
+def _mentions(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("book"))
+
+
+@query(f"WITH {_MENTION} SELECT unit, sum(n)::BIGINT AS mentions, count(*) AS books FROM c GROUP BY unit HAVING sum(n) >= 600")
+def units_min_combined(spark, sf_dir):
+    return entities.units(_mentions(spark, sf_dir), 600)
+
+
+@query(f"WITH {_MENTION} SELECT unit, sum(n)::BIGINT AS mentions, count(*) AS books FROM c WHERE n >= 150 GROUP BY unit")
+def units_min_per_book(spark, sf_dir):
+    return entities.units(_mentions(spark, sf_dir), 150, per_book=True)
+
+
+@query("""WITH c AS (SELECT c_nationkey AS unit, c_mktsegment AS v, count(*) AS n, min(c_custkey) AS f FROM customer GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY n DESC, f) AS k, sum(n) OVER (PARTITION BY unit)::BIGINT AS total FROM c)
+SELECT unit, v AS c_mktsegment, n, total FROM r WHERE k = 1""")
+def majority_type(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "unit")
+    return entities.top_value(customers, ["unit"], "c_mktsegment", "c_custkey")
+
+
+@query("""WITH j AS (SELECT p_brand AS item, l_returnflag AS part FROM lineitem JOIN part ON l_partkey = p_partkey), c AS (SELECT item, part, count(*) AS n FROM j GROUP BY ALL)
+SELECT item, part, n, sum(n) OVER (PARTITION BY item)::BIGINT AS total, round(100.0 * n / sum(n) OVER (PARTITION BY part), 6) AS pct FROM c""")
+def by_book(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("item"), F.col("l_returnflag").alias("part"))
+    return rounded(entities.by_part(rows, "item", "part"))
+
+
+@query("SELECT event_type, user_id % 7 AS grp, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (event_type, user_id % 7))")
+def type_totals(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 7).alias("grp"))
+    return entities.grouping_totals(events, "event_type", "grp")
+
+
+@query("""WITH p AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, event_id AS seen FROM events WHERE event_type = 'view')
+SELECT p.user_id, p.event_id, max_by(v.seen, struct_pack(t := v.ts, e := v.seen)) AS seen FROM p LEFT JOIN v ON p.user_id = v.user_id AND v.ts <= p.ts GROUP BY ALL""")
+def as_of_join(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    purchases = events.where("event_type = 'purchase'").drop("event_type")
+    views = events.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("seen"))
+    return entities.as_of(purchases, views, "user_id", "ts", "ts", "seen").select("user_id", "event_id", "seen")
