@@ -316,11 +316,11 @@ def narrator_runs(spark, sf_dir):
     return dialogue.runs(q.select("book", F.col("ord").alias("para"), unit.alias("unit")))
 
 
-_SESSION = """e AS (SELECT user_id, epoch_us(ts) AS at, event_id FROM events), d AS (SELECT *, at - lag(at) OVER (PARTITION BY user_id ORDER BY at) AS since FROM e),
-s AS (SELECT user_id, at, coalesce(sum((since > 3600000000)::INT) OVER (PARTITION BY user_id ORDER BY at), 0) AS session FROM d)"""
+_SESSION = """e AS (SELECT user_id, epoch_us(ts) AS tm, event_id FROM events), d AS (SELECT *, tm - lag(tm) OVER (PARTITION BY user_id ORDER BY tm) AS since FROM e),
+s AS (SELECT user_id, tm, coalesce(sum((since > 3600000000)::INT) OVER (PARTITION BY user_id ORDER BY tm), 0) AS session FROM d)"""
 
 
-@query(f"WITH {_SESSION} SELECT user_id, session::BIGINT AS session, count(*) AS events, max(at) - min(at) AS span_us FROM s GROUP BY user_id, session")
+@query(f"WITH {_SESSION} SELECT user_id, session::BIGINT AS session, count(*) AS events, max(tm) - min(tm) AS span_us FROM s GROUP BY user_id, session")
 def conversations_gap(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     rows = dialogue.sessions(events, F.lit(3_600_000_000), "user_id", "at")
