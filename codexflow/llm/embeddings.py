@@ -183,10 +183,10 @@ def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95, tables:
     label = components(found.select(F.col("rep").alias("a"), F.col("reached").alias("b")), scratch)
     about = counts.join(label.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
     out = members.join(about, "rep", "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))
     return out.select(
         "vec_id",
-        F.when(F.col("rep").isNull(), 0).otherwise(F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        F.when(F.col("rep").isNull() | F.col("vec_id").isNull(), 0).otherwise(F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )
