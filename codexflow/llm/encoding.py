@@ -59,6 +59,10 @@ class Table:
     def full(self) -> bool:
         return self.count > 5 << (self.bits - 3) or self.used > 1 << 28
 
+    def room(self) -> int:
+        """Keys that may still be entered; an eighth of the slots stays free."""
+        return (7 << (self.bits - 3)) - self.count
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Rows of keys, -1 where there is none.  Keys are never 0."""
         slot = (keys >> U(64 - self.bits)).astype(np.int64)
@@ -164,13 +168,15 @@ class Encoder:
             at = missing[at]
             long = end[at] - begin[at] > _LONG
             got = np.zeros(len(new), np.int64)
-            for group in (np.flatnonzero(~long), np.flatnonzero(long)):
+            # long pieces, and what is over the table's room, are forgotten again
+            order = np.argsort(long, kind="stable")
+            kept = order[: min(int((~long).sum()), table.room())]
+            for group in (kept, order[len(kept) :]):
                 for k, a, b in zip(group.tolist(), begin[at[group]].tolist(), end[at[group]].tolist(), strict=True):
                     got[k] = table.append(self._piece(raw[a:b].decode()))
-                if count == table.count or long[group[0]]:
-                    continue  # long pieces are forgotten again
-                table.put(new[group], got[group])
-                count, used = table.count, table.used
+                if group is kept:
+                    table.put(new[kept], got[kept])
+                    count, used = table.count, table.used
             rows[missing] = got[back]
         lengths = table.length[rows].astype(np.int64)
         ends = np.cumsum(lengths)
