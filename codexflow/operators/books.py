@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.annotated import Corpus
+from ..sources.annotated import QUOTE_MARKS, Corpus
 from .entities import top_value
 
 
@@ -123,3 +123,86 @@ def span_text(corpus: Corpus, spans: DataFrame) -> DataFrame:
     gap = lambda a, b: F.when((a["offset"] < 0) | (b["onset"] > a["offset"]), " ").otherwise("")
     text = F.aggregate(F.sequence(F.lit(1), F.size("p")), F.lit(""), lambda acc, k: F.concat(acc, F.when(k > 1, gap(F.get("p", k - 2), F.get("p", k - 1))).otherwise(""), F.get("p", k - 1)["word"]))
     return rows.select("book", "id", text.alias("text"))
+
+
+# Words before a name in an address, adverbs that do not describe a manner.
+LEADS = ("oh", "ah", "o", "well", "yes", "no", "now", "but", "and", "my", "dear", "come", "please", "thank", "you")
+PLAIN_ADVERBS = ("so", "then", "now", "here", "there", "not", "just", "only", "very", "too", "also", "still", "again", "n't", "never", "ever")
+
+
+def speech_verbs(corpus: Corpus, hops: int = 4, reach: int = 8) -> DataFrame:
+    """(book, qi, v, verb, method): the verb of each quote's attribution.  It governs the attributing
+    mention as its subject (over at most ``hops`` conjuncts), else it is the nearest verb within
+    ``reach`` tokens after the quote, then before it, in its paragraph and outside quotes."""
+    t = corpus.token.select("book", "i", "para", "lemma", "pos", "dep", "head")
+    h = heads(corpus).select("book", F.col("start").alias("mstart"), F.col("end").alias("mend"), "h")
+    cur = corpus.quote.where("mstart is not null").join(h, ["book", "mstart", "mend"]).select("book", "qi", F.col("h").alias("i"))
+    cur = cur.join(t.select("book", "i", "dep", "head"), ["book", "i"])
+    up = t.select("book", F.col("i").alias("u_i"), F.col("dep").alias("u_dep"), F.col("head").alias("u_head"))
+    for _ in range(hops):
+        climbs = (F.col("dep") == "conj") & (F.col("head") != F.col("i"))
+        cur = cur.join(up, (cur["book"] == up["book"]) & climbs & (F.col("head") == F.col("u_i")), "left").select(
+            cur["book"], "qi", F.coalesce("u_i", "i").alias("i"), F.coalesce("u_dep", "dep").alias("dep"), F.coalesce("u_head", "head").alias("head")
+        )
+    gov = t.where("pos = 'VERB'").select("book", F.col("i").alias("head"), F.lower("lemma").alias("verb"))
+    by_subject = cur.where("dep = 'nsubj'").join(gov, ["book", "head"]).groupBy("book", "qi").agg(F.min(F.struct(F.col("head").alias("v"), "verb")).alias("x")).select("book", "qi", "x.v", "x.verb", F.lit("subject").alias("method"))
+    rest = corpus.quote.join(by_subject.select("book", "qi"), ["book", "qi"], "left_anti")
+    para = t.select("book", F.col("i").alias("start"), F.col("para").alias("q_para"))
+    rest = rest.join(para, ["book", "start"])
+    near = rest.select("book", "qi", "start", "end", "q_para", F.explode(F.concat(F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda d: F.struct(F.lit(0).alias("side"), d.alias("d"), (F.col("end") + d).alias("i"))), F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda d: F.struct(F.lit(1).alias("side"), d.alias("d"), (F.col("start") - d).alias("i"))))).alias("n"))
+    near = near.select("book", "qi", "q_para", "n.side", "n.d", "n.i").join(t.select("book", "i", "para", F.lower("lemma").alias("verb"), "pos"), ["book", "i"]).join(spoken(corpus).select("book", "i", F.lit(True).alias("said")), ["book", "i"], "left")
+    # a quote or another paragraph in between ends the search on that side
+    wall = F.min(F.when((F.col("para") != F.col("q_para")) | F.col("said"), F.col("d")))
+    walls = near.groupBy("book", "qi", "side").agg(wall.alias("wall"))
+    seen = near.join(walls, ["book", "qi", "side"]).where((F.col("pos") == "VERB") & (F.col("wall").isNull() | (F.col("d") < F.col("wall"))))
+    by_place = seen.groupBy("book", "qi").agg(F.min(F.struct("side", "d", F.col("i").alias("v"), "verb")).alias("x")).select("book", "qi", "x.v", "x.verb", F.when(F.col("x.side") == 0, "after").otherwise("before").alias("method"))
+    return by_subject.unionByName(by_place)
+
+
+def speech_adverbs(corpus: Corpus, verbs: DataFrame) -> DataFrame:
+    """(book, qi, adverb): adverbs of the verb of speech that lie outside the quote."""
+    a = corpus.token.where("dep = 'advmod' and pos = 'ADV'").select("book", F.col("head").alias("v"), F.col("i").alias("a_i"), F.lower("word").alias("adverb"))
+    rows = verbs.join(a, ["book", "v"]).join(corpus.quote.select("book", "qi", "start", "end"), ["book", "qi"])
+    return rows.where(~F.col("a_i").between(F.col("start"), F.col("end")) & ~F.col("adverb").isin(*PLAIN_ADVERBS)).select("book", "qi", "adverb")
+
+
+def vocatives(corpus: Corpus) -> DataFrame:
+    """(book, qi, coref): who is addressed by name in a quote: at its start, after a comma or a word that
+    leads to an address, and before a mark or the quote's end."""
+    marks = [",", ".", "!", "?", ";", ":", "—", "-", *QUOTE_MARKS]
+    words = corpus.token.select("book", "i", F.lower("word").alias("w"))
+    inside = corpus.quote.select("book", "qi", "start", "end", F.explode(F.sequence("start", "end")).alias("m_start"))
+    names = corpus.mention.where("prop in ('PROP', 'NOM')").select("book", "coref", "prop", F.col("start").alias("m_start"), F.col("end").alias("m_end"))
+    rows = names.join(inside, ["book", "m_start"])
+    before = words.select("book", (F.col("i") + 1).alias("m_start"), F.col("w").alias("before"))
+    after = words.select("book", (F.col("i") - 1).alias("m_end"), F.col("w").alias("after"))
+    rows = rows.join(before, ["book", "m_start"], "left").join(after, ["book", "m_end"], "left")
+    opens = (F.col("m_start") == F.col("start")) | F.col("before").isin(",", *QUOTE_MARKS)
+    leads = F.col("before").isin(*LEADS)
+    closes = (F.col("m_end") == F.col("end")) | F.col("after").isin(*marks)
+    fits = F.when(F.col("prop") == "PROP", opens | leads).otherwise(leads | (F.col("before") == ","))
+    return rows.where(fits & closes).select("book", "qi", "coref").distinct()
+
+
+def quote_records(corpus: Corpus) -> DataFrame:
+    """Quotes with their words, verb of speech, how it was found, adverbs and persons addressed by name."""
+    verbs = speech_verbs(corpus)
+    adverbs = speech_adverbs(corpus, verbs).groupBy("book", "qi").agg(F.sort_array(F.collect_set("adverb")).alias("adverbs"))
+    named = vocatives(corpus).groupBy("book", "qi").agg(F.sort_array(F.collect_set("coref")).alias("vocatives"))
+    words = corpus.quote.select("book", "qi", F.explode(F.sequence("start", "end")).alias("i")).join(corpus.token.where("isword").select("book", "i"), ["book", "i"]).groupBy("book", "qi").agg(F.count("*").alias("words"))
+    out = corpus.quote
+    for part in (words, verbs, adverbs, named):
+        out = out.join(part, ["book", "qi"], "left")
+    return out.na.fill(0, ["words"])
+
+
+def conversations(corpus: Corpus, gap: int = 60) -> DataFrame:
+    """(book, qi, conv): quotes with at most ``gap`` words of narration between them are one conversation."""
+    from pyspark.sql.window import Window as W
+
+    silent = corpus.token.join(spoken(corpus).select("book", "i"), ["book", "i"], "left_anti").where("isword").select("book", "i")
+    marks = corpus.quote.select("book", F.col("start").alias("i"), "qi").unionByName(silent.withColumn("qi", F.lit(None).cast("long")))
+    order = W.partitionBy("book").orderBy("i")
+    told = marks.withColumn("told", F.sum(F.col("qi").isNull().cast("int")).over(order)).where("qi is not null")
+    new = F.coalesce(F.col("told") - F.lag("told").over(order) > gap, F.lit(True))
+    return told.withColumn("conv", F.sum(new.cast("int")).over(order) - 1).select("book", "qi", "conv")

@@ -99,3 +99,22 @@ def test_reference_lists_and_lexicons(spark):
     assert rows(annotated.word_counts(lines("1 10 the", "2 4 of")), "item", "n") == [("of", 4), ("the", 10)]
     assert rows(annotated.word_counts(lines("It isn't the dog's day")), "item", "n") == [("'s", 1), ("day", 1), ("dog", 1), ("is", 1), ("it", 1), ("n't", 1), ("the", 1)]
     assert rows(annotated.lexicon(lines("# c", "joy happy 1", "Sun happy", "rain sad 0")), "word", "category") == [("joy", "happy"), ("sun", "happy")]
+
+
+def test_quotes_are_attributed(tale):
+    got = books.quote_records(tale).collect()
+    assert [(r.qi, r.words, r.verb, r.method, r.adverbs, r.vocatives) for r in got] == [(0, 2, "say", "subject", None, [1])]
+    assert rows(books.conversations(tale), "qi", "conv") == [(0, 0)]
+
+
+def test_verbs_near_quotes(spark, tmp_path):
+    # " Go ! " he softly whispered . They ate . " No ! "
+    tokens = [(0, 0, '"', '"', "PUNCT", "punct", 1), (0, 0, "Go", "go", "VERB", "ROOT", 1), (0, 0, "!", "!", "PUNCT", "punct", 1), (0, 0, '"', '"', "PUNCT", "punct", 1), (0, 0, "he", "he", "PRON", "nsubj", 6), (0, 0, "softly", "softly", "ADV", "advmod", 6), (0, 0, "whispered", "whisper", "VERB", "ROOT", 6), (0, 0, ".", ".", "PUNCT", "punct", 6), (0, 1, "They", "they", "PRON", "nsubj", 9), (0, 1, "ate", "eat", "VERB", "ROOT", 9), (0, 1, ".", ".", "PUNCT", "punct", 9), (1, 2, '"', '"', "PUNCT", "punct", 12), (1, 2, "No", "no", "INTJ", "ROOT", 12), (1, 2, "!", "!", "PUNCT", "punct", 12), (1, 2, '"', '"', "PUNCT", "punct", 12)]
+    folder = tmp_path / "near-20250101-000000"
+    write(folder, "near", tokens=tokens)
+    (folder / "near.entities").write_text("COREF\tstart_token\tend_token\tprop\tcat\ttext\n1\t4\t4\tPRON\tPER\the\n")
+    (folder / "near.quotes").write_text("quote_start\tquote_end\tchar_id\n0\t3\t1\n11\t14\tNone\n")
+    found = annotated.load(spark, str(tmp_path))
+    got = {r.qi: (r.verb, r.method, r.adverbs, r.char) for r in books.quote_records(found).collect()}
+    assert got == {0: ("whisper", "after", ["softly"], 1), 1: (None, None, None, None)}
+    assert rows(books.conversations(found, 3), "qi", "conv") == [(0, 0), (1, 1)]
