@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import corpus, dialogue, entities, narrative, network, pattern
+from ..operators import corpus, dialogue, entities, narrative, network, pattern, topics
 from ..sources import relations
 
 QUERIES: dict = {}
@@ -424,3 +424,120 @@ def as_of_join(spark, sf_dir):
     purchases = events.where("event_type = 'purchase'").drop("event_type")
     views = events.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("seen"))
     return entities.as_of(purchases, views, "user_id", "ts", "ts", "seen").select("user_id", "event_id", "seen")
+
+
+# ---- topics
+
+_CHUNKS = f"""{_WORDS}, k AS (SELECT book, ws, len(ws) AS n, greatest(1, floor(len(ws) / 200) + ((len(ws) - floor(len(ws) / 200) * 200) * 2 >= 200)::INT)::BIGINT AS c FROM w WHERE len(ws) > 0),
+u AS (SELECT *, unnest(range(0, c)) AS i FROM k), docs AS (SELECT book || ':' || i AS doc, book, (i * 200)::INTEGER AS start, ws[i * 200 + 1 : CASE WHEN i = c - 1 THEN n ELSE i * 200 + 200 END] AS ws FROM u)"""
+_CELLS = f"""{_CHUNKS}, t AS (SELECT count(*) AS total FROM docs), c0 AS (SELECT doc, word, count(*) AS n FROM (SELECT doc, unnest(ws) AS word FROM docs) WHERE length(word) >= 3 GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM c0 GROUP BY word), cells AS (SELECT c0.* FROM c0 JOIN df ON c0.word = df.word, t WHERE df >= 20 AND df <= 0.5 * total)"""
+
+
+def _chunks(spark, sf_dir):
+    return topics.chunks(words(spark, sf_dir), 200)
+
+
+@query(f"WITH {_CHUNKS} SELECT doc, book, start, len(ws)::INTEGER AS words FROM docs")
+def topic_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc", "book", "start", F.size("ws").alias("words"))
+
+
+@query(f"WITH {_CELLS} SELECT word, count(*) AS df, sum(n)::BIGINT AS n FROM cells GROUP BY word")
+def topic_vocabulary(spark, sf_dir):
+    return topics.matrix(_chunks(spark, sf_dir), 20, 0.5).groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+
+
+def _themes(spark):
+    """A fixed table of topics over words, in place of a fitted one, so that figures on it have an oracle."""
+    rows = [(t, w, p) for t, ws in enumerate(_THEMES) for w, p in ws]
+    return spark.createDataFrame(rows, "topic int, word string, p double")
+
+
+# Three topics of four words.
+_THEMES = (
+    (("the", 0.4), ("and", 0.3), ("ing", 0.2), ("her", 0.1)),
+    (("der", 0.4), ("und", 0.3), ("ist", 0.2), ("die", 0.1)),
+    (("une", 0.4), ("des", 0.3), ("les", 0.2), ("est", 0.1)),
+)
+_PHI = "phi(topic, word, p) AS (VALUES " + ", ".join(f"({t}, '{w}', {p}::DOUBLE)" for t, ws in enumerate(_THEMES) for w, p in ws) + ")"
+
+
+@query(f"""WITH {_CHUNKS}, {_PHI}, here AS (SELECT DISTINCT doc, word FROM (SELECT doc, unnest(ws) AS word FROM docs)), h AS (SELECT * FROM here WHERE word IN (SELECT word FROM phi)), d AS (SELECT word, count(*) AS df FROM h GROUP BY word),
+n AS (SELECT count(DISTINCT doc)::DOUBLE AS docs FROM here), m AS (SELECT x.word AS a, y.word AS b, count(*) AS both FROM h x JOIN h y ON x.doc = y.doc AND x.word < y.word GROUP BY ALL),
+p AS (SELECT x.topic, x.word AS a, y.word AS b FROM phi x JOIN phi y ON x.topic = y.topic AND x.word < y.word), q AS (SELECT p.topic, m.both AS c, da.df AS da, db.df AS db, docs FROM p LEFT JOIN m ON m.a = p.a AND m.b = p.b JOIN d da ON da.word = p.a JOIN d db ON db.word = p.b, n)
+SELECT topic, round(avg(CASE WHEN c IS NULL THEN -1.0 WHEN c = docs THEN 1.0 ELSE ln(c / docs * docs * docs / da / db) / -ln(c / docs) END), 6) AS coherence FROM q GROUP BY topic""")
+def topic_coherence(spark, sf_dir):
+    cells = _chunks(spark, sf_dir).select("doc", F.explode("ws").alias("word")).groupBy("doc", "word").agg(F.count("*").alias("n"))
+    return rounded(topics.coherence(cells, _themes(spark)))
+
+
+@query(f"""WITH {_STREAM}, {_PHI}, t AS (SELECT count(*) AS words FROM s), f AS (SELECT word, count(*)::DOUBLE / any_value(t.words) AS pw FROM s, t GROUP BY word),
+r AS (SELECT topic, phi.word, p, 0.6 * ln(p) + 0.4 * ln(p / pw) AS relevance FROM phi JOIN f ON f.word = phi.word)
+SELECT topic, word, p, round(relevance, 6) AS relevance, row_number() OVER (PARTITION BY topic ORDER BY relevance DESC, word)::INTEGER AS rank FROM r""")
+def topic_relevance(spark, sf_dir):
+    counts = corpus.counts(words(spark, sf_dir))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    return rounded(topics.relevance(_themes(spark), counts.select("word", (F.col("n") / float(total)).alias("pw"))))
+
+
+@query(f"""WITH {_CHUNKS}, {_PHI}, l AS (SELECT doc_id, lang FROM documents), c AS (SELECT doc, book, len(ws) AS words, word FROM (SELECT doc, book, ws, unnest(ws) AS word FROM docs)),
+g AS (SELECT doc, any_value(book) AS book, any_value(words) AS words, topic, count(*) AS n FROM c JOIN phi ON phi.word = c.word GROUP BY doc, topic), th AS (SELECT doc, book, words, topic, n::DOUBLE / sum(n) OVER (PARTITION BY doc) AS p FROM g),
+x AS (SELECT th.*, lang FROM th JOIN l ON l.doc_id = th.book), b AS (SELECT lang, topic, sum(p * words) / sum(words) AS share FROM x GROUP BY ALL), o AS (SELECT topic, sum(p * words) / sum(words) AS overall FROM x GROUP BY topic)
+SELECT lang, b.topic, round(share, 6) AS share, round(share / overall, 6) AS ratio FROM b JOIN o ON o.topic = b.topic""")
+def topic_shares(spark, sf_dir):
+    from pyspark.sql.window import Window as W
+
+    chunks = _chunks(spark, sf_dir)
+    hits = chunks.select("doc", F.explode("ws").alias("word")).join(F.broadcast(_themes(spark).select("topic", "word")), "word").groupBy("doc", "topic").agg(F.count("*").alias("n"))
+    theta = hits.select("doc", "topic", (F.col("n") / F.sum("n").over(W.partitionBy("doc"))).alias("p"))
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), "lang")
+    about = chunks.join(langs, "book").select("doc", F.size("ws").alias("words"), "lang")
+    return rounded(topics.shares(theta, about, "lang"))
+
+
+def topic_lda(spark, sf_dir):
+    """Top words of a fitted model; values depend on the seed and the solver, so there is no SQL."""
+    cells = topics.matrix(_chunks(spark, sf_dir), 50, 0.5).cache()
+    _, phi = topics.fit_lda(cells, topics.vocabulary(cells, 500), 6, rounds=5)
+    return topics.top_words(phi, 10)
+
+
+QUERIES["topic_lda"] = topic_lda
+
+
+# ---- pages, comparison of groups, concordance by batch
+
+
+@query(r"""WITH t AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g')), '[\p{L}\p{N}]+') AS ws FROM pages)
+SELECT page_id, len(ws)::INTEGER AS words, len(list_distinct(ws))::INTEGER AS types FROM t""")
+def page_words(spark, sf_dir):
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "), "&[a-z]+;", " ")
+    return table(spark, sf_dir, "pages").select("page_id", relations.word_array(text).alias("ws")).select("page_id", F.size("ws").alias("words"), F.size(F.array_distinct("ws")).alias("types"))
+
+
+@query(f"""WITH {_STREAM}, n AS (SELECT book, i, word, lead(word, 1) OVER (PARTITION BY book ORDER BY i) AS w1 FROM s),
+m AS (SELECT book, i, CASE WHEN word = 'of' AND w1 = 'the' THEN i + 2 WHEN word IN ('and', 'in') THEN i + 1 END AS e FROM n)
+SELECT book, i::INTEGER AS i, e::INTEGER AS "end" FROM m WHERE e IS NOT NULL""")
+def batch_query(spark, sf_dir):
+    return pattern.search(relations.stream(words(spark, sf_dir)), '"of" "the"\n[word="and|in"]')
+
+
+@query("""WITH m AS (SELECT l_suppkey AS unit, l_returnflag AS flag, l_orderkey AS o FROM lineitem), g AS (SELECT unit % 4 AS grp, * FROM m)
+SELECT grp, count(DISTINCT unit) AS units, count(*) AS mentions, count(DISTINCT o) AS places, round(100.0 * avg((flag = 'R')::INT), 6) AS returned_pct FROM g GROUP BY grp""")
+def group_summary(spark, sf_dir):
+    m = table(spark, sf_dir, "lineitem").withColumn("grp", F.col("l_suppkey") % 4)
+    found = m.groupBy("grp").agg(F.countDistinct("l_suppkey").alias("units"), F.count("*").alias("mentions"), F.countDistinct("l_orderkey").alias("places"), (100.0 * F.avg((F.col("l_returnflag") == "R").cast("double"))).alias("returned_pct"))
+    return rounded(found)
+
+
+@query("""WITH j AS (SELECT p_brand AS item, c_mktsegment = 'BUILDING' AS mine FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+k AS (SELECT item, count(*) FILTER (mine)::DOUBLE AS a, count(*) FILTER (NOT mine)::DOUBLE AS b FROM j GROUP BY item), t AS (SELECT sum(a) AS c, sum(b) AS d FROM k)
+SELECT item, a::BIGINT AS a, b::BIGINT AS b, round(CASE WHEN a / c >= b / d THEN 1 ELSE -1 END * 2 * (a * ln(a / (c * (a + b) / (c + d))) + b * ln(b / (d * (a + b) / (c + d)))), 5) AS ll FROM k, t""")
+def distinctive(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = lines.select(F.col("p_brand").alias("item"), (F.col("c_mktsegment") == "BUILDING").alias("mine"))
+    counts = rows.groupBy("item").agg(F.sum(F.col("mine").cast("long")).alias("a"), F.sum((~F.col("mine")).cast("long")).alias("b"))
+    totals = counts.agg(F.sum("a").alias("c"), F.sum("b").alias("d"))
+    found = counts.crossJoin(F.broadcast(totals))  # one row
+    return found.select("item", "a", "b", F.round(stats.compare(F.col("a"), F.col("b"), F.col("c"), F.col("d"))["ll"], 5).alias("ll"))
