@@ -11,13 +11,15 @@ k log k darts in all, however long it is.  Two documents agree in a coordinate w
 the probability of their weighted Jaccard similarity.
 
 Joining.  Copies of a text are one class from the start.  In a bucket (documents
-that agree in a band) every member is compared with one seeded member, the star:
-the number of pairs is linear in the bucket.  Linked members get a component.  A
-pair of one bucket that is left, of different components, is then compared too,
-unless the distances to the star rule a link out: weighted Jaccard distance obeys
-the triangle inequality, so a link within distance d needs distances to the star
-that differ by d at most.  No pair of a bucket is lost and none is capped.  Every
-link is decided by the exact similarity of the whole texts.
+that agree in a band) every member is paired with one seeded member, the star, so
+the number of pairs is linear in the bucket.  Pairs whose signatures agree in far
+fewer coordinates than a link's would (five standard deviations) are left out; the
+others are decided by the exact similarity of the whole texts, and linked documents
+get a component.  What is then left in a bucket, pairs of
+different components, is compared by signatures too: every member that the star did
+not reach with every other, in pieces of bounded size; those that may be links are
+decided exactly in place, the likeliest first, until the components are joined.  No
+pair of a bucket is lost to a cap.
 
 Rows
     A null text is linked with nothing and is its own class.  Texts without words
@@ -118,6 +120,16 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
+def _bytes(sigs: np.ndarray) -> np.ndarray:
+    """A byte of each coordinate, to compare whole signatures."""
+    return (sigs >> U(40)).astype(np.uint8)
+
+
+def least_agreement(threshold: float) -> int:
+    """Coordinates that a link agrees in, but for five standard deviations."""
+    return int(COORDINATES * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)))
+
+
 def _sketch(batches):
     import xxhash
 
@@ -126,10 +138,12 @@ def _sketch(batches):
         raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
         for a, b in batches_of(raw):
             elements, owner = shingles_of(raw[a:b])
-            keys = band_keys(signatures(elements, owner, b - a))
+            sigs = signatures(elements, owner, b - a)
+            keys = band_keys(sigs)
             some = np.bincount(owner, minlength=b - a) > 0
             digest = [None if t is None else xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts[a:b]]
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(digest, pa.binary()), _lists(keys[some].reshape(-1), some * BANDS)], ["doc_id", "digest", "bands"])
+            short = [row.tobytes() for row in _bytes(sigs)]
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(digest, pa.binary()), pa.array(short, pa.binary()), _lists(keys[some].reshape(-1), some * BANDS)], ["doc_id", "digest", "sig", "bands"])
 
 
 def _elements(batches):
@@ -153,68 +167,150 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("other"), pa.array(sims)], ["hub", "other", "sim"])
 
 
-def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8) -> DataFrame:
+def _likely(need: int):
+    """Keep pairs (hub, other) with signatures that agree in enough coordinates."""
+
+    def keep(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sa", "sb"))
+            fine = pa.array((x == y).sum(axis=1) >= need)
+            yield pa.RecordBatch.from_arrays([batch.column("hub").filter(fine), batch.column("other").filter(fine)], ["hub", "other"])
+
+    return keep
+
+
+def _rest(need: int, threshold: float):
+    """Pairs of components with a link between a piece's strays and members, for pieces in sorted order.
+
+    The likeliest partners come first, and a component that a stray has been linked to in this
+    piece is not looked at again: one link is enough.  A pair that shares several bands is left to
+    the bucket of the first."""
+
+    def links(table: pa.Table):
+        key = table.column("key")[0].as_py()
+        role, rep, label = (table.column(c).to_numpy() for c in ("role", "rep", "label"))
+        stray = table.column("stray").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        bands = np.stack([x.values.to_numpy() for x in table.column("bands")])
+        elements = table.column("elements").combine_chunks()
+        above: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        one, two = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        lo, hi = [], []
+        for at in range(0, len(one), 64):
+            part = one[at : at + 64]
+            agree = (sig[part][:, None, :] == sig[two][None, :, :]).sum(axis=2)
+            close = (agree >= need) & (label[part][:, None] != label[two][None, :])
+            close &= ~stray[two][None, :] | (rep[part][:, None] < rep[two][None, :])  # two strays meet in both orders
+            for n in np.flatnonzero(close.any(axis=1)).tolist():
+                x, ys = part[n], two[close[n]]
+                same = bands[ys] == bands[x]
+                ys, order = ys[bands[x][same.argmax(axis=1)] == key], agree[n][close[n]][bands[x][same.argmax(axis=1)] == key]
+                mine = elements[int(x)].values.to_numpy()
+                for y in ys[np.argsort(-order, kind="stable")].tolist():
+                    a, b = find(int(label[x])), find(int(label[y]))
+                    if a == b:
+                        continue
+                    other = elements[y].values.to_numpy()
+                    if min(len(mine), len(other)) < threshold * max(len(mine), len(other)) - 1e-9:
+                        continue
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if both >= threshold * (len(mine) + len(other) - both) - 1e-9:
+                        above[max(a, b)] = min(a, b)
+                        lo.append(int(label[x]))
+                        hi.append(int(label[y]))
+        if lo:
+            yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            ends = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ends], axis=0)) + 1
+            bounds = [0, *new.tolist()]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield from links(table.slice(a, b - a))
+            held = table.slice(bounds[-1])
+        if held is not None:
+            yield from links(held)
+
+    return run
+
+
+def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8, piece: int = 1024) -> DataFrame:
     """doc_id, class_id (smallest id of the class), copy_of (smallest id with the same
     text) and kept (whether this is the class's document) of every row."""
     texts = _texts(documents)
-    sketches = scratch.keep(texts.mapInArrow(_sketch, "doc_id long, digest binary, bands array<long>"), "sketches")
+    sketches = scratch.keep(texts.mapInArrow(_sketch, "doc_id long, digest binary, sig binary, bands array<long>"), "sketches")
     copies = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = scratch.keep(sketches.join(copies, "digest", "left").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    own = F.col("doc_id") == F.col("rep")
+    members = scratch.keep(sketches.join(copies, "digest", "left").select("doc_id", "rep", F.when(own, F.col("sig")).alias("sig"), F.when(own, F.col("bands")).alias("bands")), "members")
     scratch.drop(sketches)
+    need = least_agreement(threshold)
 
-    # Buckets of at least two classes, each with a star that is chosen by a hash.
+    # Buckets of at least two classes.
     entries = members.where("bands is not null").select("rep", F.explode("bands").alias("key"))
-    star = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("v")))["v"]
-    buckets = entries.groupBy("key").agg(star.alias("star"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "star")
-    held = scratch.keep(entries.join(buckets, "key"), "buckets")
+    shared = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    held = scratch.keep(entries.join(shared, "key").distinct(), "buckets")
     wanted = held.select(F.col("rep").alias("wanted")).distinct()
+    sigs = scratch.keep(members.where("sig is not null").join(wanted, F.col("rep") == F.col("wanted"), "left_semi").select("rep", "sig", "bands").dropDuplicates(["rep"]), "signatures")
     elements = scratch.keep(texts.join(wanted, texts["doc_id"] == wanted["wanted"], "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_elements, "doc_id long, elements array<long>"), "elements")
 
-    def compare(pairs: DataFrame, name: str) -> DataFrame:
-        """Similarities of pairs (hub, other).  The hub's elements come last, so that a hub
+    def decide(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among pairs (hub, other).  The hub's elements come last, so that a hub
         of very many pairs is only multiplied in the join that Spark can split."""
         first = elements.select(F.col("doc_id").alias("other"), F.col("elements").alias("eb"))
         second = elements.select(F.col("doc_id").alias("hub"), F.col("elements").alias("ea"))
         both = pairs.join(first, "other").join(second, "hub").select("hub", "other", "ea", "eb")
-        return scratch.keep(both.mapInArrow(_compare, "hub long, other long, sim double"), name)
+        return scratch.keep(both.mapInArrow(_compare, "hub long, other long, sim double").where(F.col("sim") >= threshold).select("hub", "other"), name)
+
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
+        first, second = sigs.select(F.col("rep").alias("other"), F.col("sig").alias("sb")), sigs.select(F.col("rep").alias("hub"), F.col("sig").alias("sa"))
+        both = pairs.join(first, "other").join(second, "hub").select("hub", "other", "sa", "sb")
+        return scratch.keep(both.mapInArrow(_likely(need), "hub long, other long"), name)
 
-    lo, hi = F.least("rep", "star"), F.greatest("rep", "star")
-    pairs = held.where("rep != star").groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.min("star").alias("hub")).select("hub", F.when(F.col("hub") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
-    sims = compare(pairs, "similarities")
-    linked = sims.where(F.col("sim") >= threshold)
     # ids that come with several texts join the classes of these
     named = members.where("rep is not null").select("doc_id", "rep")
     several = named.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("doc_id", "b")
-    same_id = named.join(several, "doc_id").select(F.col("rep").alias("a"), "b")
-    label = components(linked.select(F.col("hub").alias("a"), F.col("other").alias("b")).unionByName(same_id), scratch)
-
-    # What is left: pairs of a bucket in different components that the star does not rule out.
-    reach = 1.0 - threshold + 1e-9
-    far = sims.select(F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi"), "sim").groupBy("lo", "hi").agg((1 - F.max("sim")).alias("d"))
-    of = lambda c, name: label.select(F.col("vertex").alias(c), F.col("component").alias(name))
-    placed = (
-        held.where("rep != star").distinct()
-        .join(of("rep", "rep_label"), "rep", "left").join(of("star", "star_label"), "star", "left")
-        .select("key", "rep", F.coalesce("rep_label", "rep").alias("label"), F.coalesce("star_label", "star").alias("star_label"), lo.alias("lo"), hi.alias("hi"))
-    )
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("label") != F.col("star_label")).cast("int")).alias("strays")).where("n > 1 and strays > 0").select("key")
-    placed = scratch.keep(placed.join(open_keys, "key").join(far, ["lo", "hi"]).select("key", "rep", "label", "d", (F.col("label") != F.col("star_label")).alias("stray")), "open")
-    cell = F.floor(F.col("d") / reach).cast("int")
-    strays = placed.where("stray").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("d").alias("dx"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    others = placed.select("key", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("d").alias("dy"), cell.alias("cell"))
-    more = strays.join(others, ["key", "cell"]).where((F.col("lx") != F.col("ly")) & (F.abs(F.col("dx") - F.col("dy")) <= reach))
-    more = more.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct().join(far.select("lo", "hi"), ["lo", "hi"], "left_anti")
-    more_sims = compare(more.select(F.col("lo").alias("hub"), F.col("hi").alias("other")), "more")
-    more_links = more_sims.where(F.col("sim") >= threshold)
+    links = named.join(several, "doc_id").select(F.col("rep").alias("a"), "b")
+    lo, hi = F.least("rep", "star"), F.greatest("rep", "star")
+    rank = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("v"))  # the same order in all buckets, so that pairs coincide
+    stars = held.groupBy("key").agg(F.min(rank)["v"].alias("star"))
+    pairs = held.join(stars, "key").where("rep != star").groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.min("star").alias("hub"))
+    pairs = pairs.select("hub", F.when(F.col("hub") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
+    links = links.unionByName(decide(likely(pairs, "pairs"), "links").select(F.col("hub").alias("a"), F.col("other").alias("b")))
+    label = components(links, scratch)
+    # buckets with a member that the star did not reach are still open
+    placed = held.join(label.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+    star = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("label").alias("l")))["l"]
+    open_keys = placed.groupBy("key").agg(star.alias("star_label"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "star_label")
+    open_ = scratch.keep(placed.join(open_keys, "key").select("key", "rep", "label", (F.col("label") != F.col("star_label")).alias("stray")), "open")
+
+    # What is left: each stray with every member of its bucket, in pieces.
+    sizes = open_.groupBy("key").agg(F.ceil(F.sum(F.col("stray").cast("int")) / piece).cast("int").alias("ni"), F.ceil(F.count("*") / piece).cast("int").alias("nj"))
+    once = elements.groupBy(F.col("doc_id").alias("rep")).agg(F.first("elements").alias("elements"))
+    rows = open_.join(sizes, "key").join(sigs, "rep").join(once, "rep")
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    carry = ("rep", "label", "stray", "sig", "bands", "elements")
+    one = rows.where("stray").select("key", part("ni").alias("i"), every("nj").alias("j"), F.lit(0).alias("role"), *carry)
+    two = rows.select("key", every("ni").alias("i"), part("nj").alias("j"), F.lit(1).alias("role"), *carry)
+    work = one.unionByName(two).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role", "rep")
+    more = scratch.keep(work.mapInArrow(_rest(need, threshold), "a long, b long").distinct(), "more")
     scratch.drop(elements)
-    if not more_links.isEmpty():
-        joined = more_links.join(of("hub", "la"), "hub", "left").join(of("other", "lb"), "other", "left").select(F.coalesce("la", "hub").alias("a"), F.coalesce("lb", "other").alias("b"))
-        above = components(joined, scratch)
-        both = label.unionByName(joined.select(F.explode(F.array("a", "b")).alias("vertex"), F.col("vertex").alias("component")).distinct().join(label, "vertex", "left_anti"))
-        label = scratch.keep(
-            both.join(above.select(F.col("vertex").alias("component"), F.col("component").alias("last")), "component", "left").select("vertex", F.coalesce("last", "component").alias("component")),
-            "labels",
-        )
-    out = members.select("doc_id", "rep").join(label.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
+    out = members.select("doc_id", "rep").join(label.select(F.col("vertex").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if not more.isEmpty():  # links between components join them
+        above = components(more, scratch).select(F.col("vertex").alias("component"), F.col("component").alias("joined"))
+        out = out.join(above, "component", "left").withColumn("component", F.coalesce("joined", "component"))
     class_id = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_of"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
