@@ -115,13 +115,16 @@ def plan(documents: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (3
     by_source: dict[int, list] = {}
     for r in sums:
         by_source.setdefault(r["source_no"], []).append(r)
-    room = np.array([sum(2 * r["words"] // block_words for r in by_source.get(n, ())) for n in range(len(sizes))], np.int64)
-    quota = sainte_lague(np.array(goal), blocks, room)
+    quota = sainte_lague(np.array(goal), blocks, np.array([2 * size // block_words for size in sizes], np.int64))
     dealt = []
     for n, rows in by_source.items():
         words = np.array([r["words"] for r in rows], np.int64)
-        for r, q in zip(rows, sainte_lague(words, int(quota[n]), 2 * words // block_words), strict=True):
-            dealt.append((n, r["shard"], int(r["words"]), int(q) * block_words))
+        given = sainte_lague(words, int(quota[n]), 2 * words // block_words) * block_words
+        # what does not fit in whole blocks goes to the shards' last words
+        spare = 2 * words - given
+        before = np.cumsum(spare) - spare
+        given += np.clip(int(quota[n]) * block_words - int(given.sum()) - before, 0, spare)
+        dealt += [(n, r["shard"], int(r["words"]), int(g)) for r, g in zip(rows, given, strict=True)]
     if not dealt:
         dealt = [(-1, 0, 1, 0)]
     quotas = spark.createDataFrame(dealt, "source_no int, shard int, words long, quota long")
@@ -163,12 +166,12 @@ def mixed_documents(documents: DataFrame, scratch: Scratch, **options) -> DataFr
     picked = scratch.keep(runs(placed, quotas, seed, block).where("whole > 0 or size(parts) > 0").select("doc_id", "order_hash", "size", "whole", "parts").dropDuplicates(["doc_id", "order_hash"]), "picked")
     columns = documents.columns
     keyed = documents.withColumn("_order_hash", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64(F.col("text"))))
-    picked = picked.select(F.col("doc_id").alias("_id"), F.col("order_hash").alias("_hash"), "size", "whole", "parts")
+    picked = picked.select(F.col("doc_id").alias("_id"), F.col("order_hash").alias("_hash"), F.col("whole").alias("_whole"), F.col("parts").alias("_parts"))
     both = keyed.join(picked, keyed["doc_id"].cast("long").eqNullSafe(picked["_id"]) & (keyed["_order_hash"] == picked["_hash"]))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     copies = F.concat(
-        F.array_repeat(F.struct(F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")), F.col("whole").cast("int")),
-        F.filter("parts", lambda p: p["hi"] > p["lo"]),
+        F.array_repeat(F.struct(F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")), F.col("_whole").cast("int")),
+        F.filter("_parts", lambda p: p["hi"] > p["lo"]),
     )
     each = both.withColumn("_copy", F.explode(copies))
     part = F.array_join(F.slice(words, F.col("_copy.lo").cast("int") + 1, (F.col("_copy.hi") - F.col("_copy.lo")).cast("int")), "")
