@@ -116,10 +116,15 @@ def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per
     train = ~held_out(F.col("doc_id")) if train is None else train
     labelled = documents.where(train & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    ranked = labelled.select("lang", "h").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h")))
+    # A first cut by the hash leaves little more than the sample, so no task sorts a language's rows.
+    few = per_language + 8 * int(np.sqrt(per_language)) + 16
+    cuts = [(r["lang"], int(-(2**63) + min(1.0, few / r["n"]) * (2**64 - 2**11))) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    if len(cuts) * clusters * SIZE * 4 > max_model_bytes:
+        raise ValueError(f"a model of {len(cuts)} languages is over {max_model_bytes} bytes")
+    cut_table = F.broadcast(spark.createDataFrame(cuts, "cut_lang string, cut_h long"))  # a row a language
+    likely = labelled.select("lang", "h").join(cut_table, (F.col("lang") == F.col("cut_lang")) & (F.col("h") <= F.col("cut_h")))
+    ranked = likely.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h")))
     ends = [(r["lang"], r["h"]) for r in ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()]
-    if len(ends) * clusters * SIZE * 4 > max_model_bytes:
-        raise ValueError(f"a model of {len(ends)} languages is over {max_model_bytes} bytes")
     if not ends:
         return Model([], np.zeros((0, SIZE), np.float32), np.ones(SIZE, np.float32), np.zeros(40))
     ends_table = F.broadcast(spark.createDataFrame(ends, "end_lang string, end_h long"))  # a row a language
@@ -161,15 +166,18 @@ def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per
         return pa.table({"lang": [table.column("lang")[0].as_py()] * len(found), "no": pa.array(range(len(found)), pa.int32()), "v": pa.array([c.tobytes() for c in found], pa.binary())})
 
     rows = whole.groupBy("lang").applyInArrow(centres, "lang string, no int, v binary").collect()
+    if not rows:  # labelled texts without a letter
+        return model
     rows.sort(key=lambda r: (r["lang"], r["no"]))
     model.languages = [r["lang"] for r in rows]
     model.centroids = np.stack([np.frombuffer(bytes(r["v"]), np.float32) for r in rows])
 
     def cosines(batches):
         for batch in batches:
-            counts = dense(pa.Table.from_batches([batch]))
-            best = (model.vectors(counts) @ model.centroids.T).max(axis=1).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.log2(counts.sum(axis=1)).astype(np.int32)), pa.array(best)], ["size", "cosine"])
+            for at in range(0, batch.num_rows, 256):
+                counts = dense(pa.Table.from_batches([batch.slice(at, 256)]))
+                best = (model.vectors(counts) @ model.centroids.T).max(axis=1).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.log2(counts.sum(axis=1)).astype(np.int32)), pa.array(best)], ["size", "cosine"])
 
     spread = table.select("at", "n").repartition(spark.sparkContext.defaultParallelism)
     low = {r["size"]: r["low"] for r in spread.mapInArrow(cosines, "size int, cosine double").groupBy("size").agg(F.min("cosine").alias("low")).collect()}

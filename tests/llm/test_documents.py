@@ -217,6 +217,8 @@ def test_languages_of_odd_rows(spark):
     assert len(got) == docs.count()
     for r in got:
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+    marks = docs.where("doc_id in (0, 2, 9)")
+    assert {r.lang_pred for r in language.identify(marks, language.fit(marks, Scratch(spark, "t"), train=F.lit(True))).collect()} == {"und"}
     nothing = empty(spark)
     assert language.identify(nothing, language.fit(nothing, Scratch(spark, "t"))).collect() == []
 
