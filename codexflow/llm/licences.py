@@ -30,6 +30,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Scratch
+
 UNKNOWN = "unknown"
 
 # The usual wording of licence notices, by family.
@@ -134,7 +136,7 @@ def _variants(text: str, rng: np.random.Generator, filler: list[str], count: int
     return out
 
 
-def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int = 1500, rate: float = 0.5, penalty: float = 1e-3) -> Model:
+def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int = 500, rate: float = 2.0, penalty: float = 1e-3) -> Model:
     """Fit on the notices and on paragraphs of the corpus that count as no notice."""
     rng = np.random.default_rng(seed)
     families = [*sorted(NOTICES), UNKNOWN]
@@ -147,12 +149,13 @@ def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int
             label += [k] * len(got)
     notice_words = {w for t in NOTICES.values() for n in t for w in _tokens(n)}
     # Corpus paragraphs that hold one of these words might be notices themselves and are not used.
-    plain_words = {w for p in OTHERS for w in _tokens(p)} | {w for p in paragraphs for w in _tokens(p)}
-    rare = {w for w in notice_words if w in {"license", "licensed", "copyright", "spdx-license-identifier"}}
-    for p in [*OTHERS * 6, *(p for p in paragraphs if not rare & set(_tokens(p)))]:
+    telling = {"license", "licensed", "copyright", "spdx-license-identifier"}
+    plain = [p for p in paragraphs if not telling & set(_tokens(p))]
+    plain_words = {w for p in (*OTHERS, *plain) for w in _tokens(p)}
+    for p in [*OTHERS * 6, *plain]:
         texts.append(p)
         label.append(len(families) - 1)
-    cues = sorted(w for w in notice_words if w in rare or w not in plain_words)
+    cues = sorted(w for w in notice_words if w in telling or w not in plain_words)
     cue_set = set(cues)
     vocabulary = sorted({g for t in NOTICES.values() for n in t for g in _grams(_tokens(n)) if cue_set & set(g.split())})
     at = {g: n for n, g in enumerate(vocabulary)}
@@ -172,10 +175,15 @@ def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    for _ in range(rounds):
-        error = (soft(x[~apart] @ w + b) - y[~apart]) * importance
-        w -= rate * 20 * (x[~apart].T @ error + penalty * w / len(vocabulary))
-        b -= rate * error.sum(axis=0)
+    known, right = x[~apart], y[~apart]
+    w, b = w.astype(np.float32), b.astype(np.float32)
+    vw, vb = np.zeros_like(w), np.zeros_like(b)
+    for _ in range(rounds):  # gradient descent with Nesterov's momentum
+        error = (soft(known @ (w + 0.9 * vw) + b + 0.9 * vb) - right) * importance
+        vw = 0.9 * vw - rate * (known.T @ error + penalty * w / len(vocabulary))
+        vb = 0.9 * vb - rate * error.sum(axis=0)
+        w += vw
+        b += vb
     z, truth = x[apart] @ w + b, y[apart].astype(bool)
     heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=lambda t: -np.log(np.maximum(soft(z / t)[truth], 1e-12)).mean())
     b[-1] = max(b[-1], b[:-1].max() + heat * np.log(len(families)))  # without a cue the answer is unknown
@@ -234,15 +242,15 @@ def scan_paragraphs(paragraphs: DataFrame, model: Model, least: float = 0.5, sha
     return held.groupBy("paragraph", "family", "probability").agg((F.max("held") >= share).alias("confirmed"))
 
 
-def scan(documents: DataFrame, model: Model, **options) -> DataFrame:
+def scan(documents: DataFrame, model: Model, scratch: Scratch, **options) -> DataFrame:
     """doc_id, families (confirmed ones), unconfirmed (others that are predicted), the number
     of paragraphs that are confirmed notices, and the highest probability of these."""
     cue = "(?iu)(?<![\\p{L}\\p{N}])(?:" + "|".join(re.escape(c) for c in model.cues) + ")(?![\\p{L}\\p{N}])"
     text = F.col("text").cast("string")
     ids = documents.select("doc_id", text.alias("text"))
-    lines = ids.where(F.col("text").rlike(cue)).select("doc_id", F.explode(_paragraphs(F.col("text"))).alias("paragraph")).where(F.col("paragraph").rlike(cue))
+    lines = ids.select("doc_id", F.explode(F.filter(_paragraphs(F.col("text")), lambda p: p.rlike(cue))).alias("paragraph"))
     # a notice counts once for each document with the number of its occurrences
-    lines = lines.groupBy("doc_id", "paragraph").agg(F.count("*").alias("n"))
+    lines = scratch.keep(lines.groupBy("doc_id", "paragraph").agg(F.count("*").alias("n")), "lines")
     judged = scan_paragraphs(lines, model, **options)
     hits = lines.join(judged, "paragraph").groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
