@@ -206,3 +206,45 @@ def conversations(corpus: Corpus, gap: int = 60) -> DataFrame:
     told = marks.withColumn("told", F.sum(F.col("qi").isNull().cast("int")).over(order)).where("qi is not null")
     new = F.coalesce(F.col("told") - F.lag("told").over(order) > gap, F.lit(True))
     return told.withColumn("conv", F.sum(new.cast("int")).over(order) - 1).select("book", "qi", "conv")
+
+
+# Words that open a chapter's heading, and marks that close a sentence.
+HEADING_WORDS = "chapter|book|part|volume|prologue|epilogue|preface|introduction|letter|act|scene"
+
+
+def headings(corpus: Corpus, longest: int = 12) -> DataFrame:
+    """(book, para, s, e): paragraphs that look like headings: at most ``longest`` words, no quote, and a
+    heading word or numeral, or all capitals, or no closing mark."""
+    t = corpus.token.join(spoken(corpus).select("book", "i", F.lit(True).alias("said")), ["book", "i"], "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ")
+    rows = t.groupBy("book", "para").agg(F.min("i").alias("s"), F.max("i").alias("e"), F.sum(F.col("isword").cast("int")).alias("words"), F.max(F.coalesce("said", F.lit(False))).alias("said"), text.alias("text"))
+    numbered = F.col("text").rlike(rf"(?i)^\s*(?:(?:{HEADING_WORDS})\b|[ivxlcdm]+\s*\.?\s*$|\d+\s*\.?\s*$)")
+    capitals = (F.col("text") == F.upper("text")) & (F.col("text") != F.lower("text"))
+    return rows.where((F.col("words") > 0) & (F.col("words") <= longest) & ~F.col("said") & (numbered | capitals | ~F.col("text").rlike(r"[.!?:;,\"'”’]\s*$"))).select("book", "para", "s", "e", "text")
+
+
+def chapters(corpus: Corpus, longest: int = 12) -> DataFrame:
+    """(book, seg, label, s, e): from a heading (several in a row are one) to the next; a book with fewer
+    than two headings is one segment."""
+    from pyspark.sql.window import Window as W
+
+    order = W.partitionBy("book").orderBy("para")
+    rows = headings(corpus, longest)
+    first = rows.withColumn("new", F.coalesce(F.col("s") != F.lag("e").over(order) + 1, F.lit(True))).withColumn("run", F.sum(F.col("new").cast("int")).over(order))
+    starts = first.groupBy("book", "run").agg(F.min("s").alias("s"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "text"))), lambda x: x["text"]), " ").alias("label"))
+    by_run = W.partitionBy("book").orderBy("run")
+    sizes = corpus.sizes.select("book", "n_tokens")
+    ends = starts.join(F.broadcast(sizes), "book").withColumn("e", F.coalesce(F.lead("s").over(by_run), F.col("n_tokens")) - 1).withColumn("k", F.count("*").over(W.partitionBy("book")))
+    several = ends.where("k >= 2").select("book", (F.col("run") - 1).cast("long").alias("seg"), "label", "s", "e")
+    single = sizes.join(several.select("book").distinct(), "book", "left_anti").select("book", F.lit(0).cast("long").alias("seg"), F.lit("").alias("label"), F.lit(0).cast("long").alias("s"), (F.col("n_tokens") - 1).alias("e"))
+    return several.unionByName(single)
+
+
+def evidence(corpus: Corpus, relations_: DataFrame, members: DataFrame, rel: str, item: str, limit: int = 150) -> tuple[int, DataFrame]:
+    """How many mentions stand behind an item of a relation, and the first sentences of them."""
+    found = relations_.where((F.col("rel") == rel) & (F.col("item") == item)).join(members, ["book", "coref"], "left_semi")
+    total = found.count()
+    at = found.join(corpus.mention.select("book", "mi", "start"), ["book", "mi"]).orderBy("book", "coref", "start").limit(limit)
+    where = at.join(corpus.token.select("book", F.col("i").alias("start"), "sent"), ["book", "start"])
+    spans = where.join(corpus.spans("sent"), ["book", "sent"]).select("book", F.col("mi").alias("id"), "s", "e")
+    return total, span_text(corpus, spans)

@@ -118,3 +118,31 @@ def test_verbs_near_quotes(spark, tmp_path):
     got = {r.qi: (r.verb, r.method, r.adverbs, r.char) for r in books.quote_records(found).collect()}
     assert got == {0: ("whisper", "after", ["softly"], 1), 1: (None, None, None, None)}
     assert rows(books.conversations(found, 3), "qi", "conv") == [(0, 0), (1, 1)]
+
+
+def test_evidence(spark, tale):
+    members = spark.createDataFrame([("tale", 1)], "book string, coref long")
+    total, found = books.evidence(tale, books.relations(tale), members, "agent", "close")
+    assert total == 1 and [r.text for r in found.collect()] == ["Anna opened and closed the door ."]
+
+
+def test_chapters(spark, tmp_path):
+    body = [("One", "NUM"), ("day", "NOUN"), ("came", "VERB"), (".", "PUNCT")]
+    texts = [[("Chapter", "NOUN"), ("1", "NUM")], [("THE", "DET"), ("MOOR", "NOUN")], body, body, [("II", "NUM"), (".", "PUNCT")], body]
+    tokens, n = [], 0
+    for para, words in enumerate(texts):
+        for word, pos in words:
+            tokens.append((para, para, word, word.lower(), pos, "dep", n))
+            n += 1
+    folder = tmp_path / "ch-20250101-000000"
+    write(folder, "ch", tokens=tokens)
+    for kind in ("entities", "quotes", "supersense", "book"):
+        if kind != "entities":
+            (folder / f"ch.{kind}").unlink()
+    found = annotated.load(spark, str(tmp_path))
+    assert rows(books.chapters(found), "seg", "label", "s", "e") == [(0, "Chapter 1 THE MOOR", 0, 11), (1, "II .", 12, 17)]
+    assert rows(books.headings(found), "para") == [(0,), (1,), (4,)]
+
+
+def test_a_book_without_headings_is_one_segment(tale):
+    assert rows(books.chapters(tale), "seg", "s", "e") == [(0, 0, 19)]

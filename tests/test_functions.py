@@ -112,3 +112,16 @@ def test_empty_and_null_texts(spark):
     assert corpus.ngrams(w, 2, 2, min_freq=1).collect()[0].gram == "one two"
     assert corpus.collocates(w, lambda x: x == "two", min_freq=1).count() == 2
     assert corpus.kwic(w.where(F.lit(False)), lambda x: x == "two").collect() == []
+
+
+def test_communities_and_graph_files(tmp_path):
+    import xml.etree.ElementTree as ET
+
+    cliques = [(f"{g}{a}", f"{g}{b}", 1) for g in "xy" for a, b in itertools.combinations(range(4), 2)] + [("x0", "y0", 1)]
+    found = network.communities(cliques)
+    assert len(set(found.values())) == 2 and all(found[f"x{k}"] == found["x0"] for k in range(4)) and found["x0"] != found["y1"]
+    assert network.modularity(cliques, found) > 0.4 and network.communities([]) == {}
+    for kind in ("graphml", "gexf"):
+        network.write_graph(cliques, {v: {"community": c} for v, c in found.items()}, str(tmp_path / kind), kind)
+        root = ET.parse(tmp_path / kind).getroot()
+        assert sum(x.tag.endswith("}edge") for x in root.iter()) == len(cliques) and sum(x.tag.endswith("}node") for x in root.iter()) == 8
