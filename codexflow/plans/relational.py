@@ -14,7 +14,8 @@ SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return relations.spread(df.select("doc_id", "text", "lang", "source")) if name == "documents" else df
 
 
 def query(sql: str | None = None):

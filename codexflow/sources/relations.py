@@ -21,6 +21,13 @@ def token_array(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where an input of a single file would keep them in fewer tasks.  Inputs of
+    many files, as large ones are, stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def words(documents: DataFrame, *carry: str) -> DataFrame:
     """book, the carried columns, and ws, the words of the text."""
     return documents.select(F.col("doc_id").alias("book"), *carry, word_array(F.col("text")).alias("ws"))
