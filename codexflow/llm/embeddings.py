@@ -10,8 +10,11 @@ smallest vector that it reaches inside the bucket.  Equal vectors are one entry
 a count.  Buckets over ``block`` are cut into parts, and every two parts are a piece
 of work of their own.
 
-The rotations are fitted on at most ``sample`` vectors, those of smallest hash.  The
-share of true links that is found (recall) is measured by the tests.
+The rotations are fitted on at most ``sample`` vectors, those of smallest hash.  Signs
+are taken around the mean, which keeps buckets small but widens the angle of close
+pairs when the table has a common direction.  So partners at exactly the threshold
+are planted beside the sample, and the number and length of the substrings are those
+of the least work that find ``recall`` of them; without any, all vectors are compared.
 
 Rows
     Vectors that are null, zero, or hold null or non-finite components link with
@@ -58,6 +61,44 @@ def fit(sample: np.ndarray, tables: int, bits: int, seed: int = 5) -> tuple[np.n
     return mean, np.concatenate(parts, axis=1)
 
 
+def planted(x: np.ndarray, threshold: float, seed: int = 7, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised vectors and partners at the threshold: every other one in any direction,
+    the others in that of another vector of the sample."""
+    rng = np.random.default_rng(seed)
+    x = x[rng.permutation(len(x))[:most]]
+    x = np.tile(x, (-(-500 // len(x)), 1))  # few vectors get several partners
+    away = rng.standard_normal(x.shape)
+    away[1::2] = x[rng.integers(0, len(x), len(away[1::2]))]
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    size = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    some = size[:, 0] > 1e-9
+    return x[some], threshold * x[some] + np.sqrt(1 - threshold**2) * away[some] / size[some]
+
+
+def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """The key of each row in each table."""
+    signs = ((x - mean) @ projection[:, : tables * bits] >= 0).reshape(len(x), tables, bits)
+    return (signs @ (1 << np.arange(bits, dtype=np.int64))) + (np.arange(tables) << bits)
+
+
+def shape(sample: np.ndarray, rows: int, threshold: float, tables: int, bits: int, recall: float = 0.985) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(mean, projection, tables, bits): those asked for if they find the planted partners, else those of the least work that do."""
+    x, y = planted(sample, threshold)
+    mean, projection = fit(sample, tables, bits)
+    found = lambda t, b: not len(x) or (codes(x, mean, projection, t, b) == codes(y, mean, projection, t, b)).any(axis=1).mean() >= recall
+    if found(tables, bits):
+        return mean, projection, tables, bits
+    mean, projection = fit(sample, 4 * tables, bits)
+    best = (float(rows), 1, 0)  # no bits: every pair is compared
+    for t in (tables, 2 * tables, 4 * tables):
+        b = next((b for b in range(bits, 0, -1) if found(t, b)), 0)
+        if b:
+            sizes = np.unique(codes(sample, mean, projection, t, b), return_counts=True)[1]
+            # pairs for each vector, and what an entry costs besides
+            best = min(best, (rows * float((sizes.astype(float) ** 2).sum()) / len(sample) ** 2 + 100.0 * t, t, b))
+    return mean, projection, best[1], best[2]
+
+
 def _links(batch: pa.RecordBatch, dim: int, kind: str, threshold: float, tables: int, bits: int):
     """Work through sorted groups; gives (rep, links, smallest reached)."""
     key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
@@ -137,7 +178,7 @@ def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95, tables:
     if not taken:
         return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     x = np.stack(taken).astype(float)
-    mean, projection = fit(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), tables, bits)
+    mean, projection, tables, bits = shape(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), reps.count(), threshold, tables, bits)
     model = spark.sparkContext.broadcast((mean, projection))
 
     def code(batches):
@@ -147,8 +188,7 @@ def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95, tables:
                 continue
             x = np.stack([np.frombuffer(r.as_py(), kind) for r in batch.column("v")]).astype(float)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            signs = ((x - mean) @ projection >= 0)[:, : tables * bits].reshape(len(x), tables, bits)
-            keys = (signs @ (1 << np.arange(bits))) + (np.arange(tables) << bits)
+            keys = codes(x, mean, projection, tables, bits)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.astype(np.int32).reshape(-1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], ["rep", "n", "v", "keys"])
 

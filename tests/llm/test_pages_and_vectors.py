@@ -213,3 +213,22 @@ def test_recall_of_links_and_hot_buckets(spark):
     assert sum(r.n_links for r in got.values()) >= 0.97 * true.sum()
     last = len(rows) - 300
     assert {got[n].component_id for n in range(last, len(rows))} == {last}
+
+
+def test_recall_with_a_common_direction(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    for common in (0.79, 0.97):  # the mean cosine of the table
+        x = unit(np.sqrt(1 - common) * unit(rng.standard_normal((1500, 64))) + np.sqrt(common) * unit(rng.standard_normal(64)))
+        away = rng.standard_normal((500, 64))
+        away = unit(away - (away * x[:500]).sum(axis=1, keepdims=True) * x[:500])
+        c = rng.uniform(0.95, 0.96, (500, 1))
+        x = np.concatenate([x, c * x[:500] + np.sqrt(1 - c * c) * away]).astype(np.float32)
+        df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {r.vec_id: r.n_links for r in embeddings.link(df, Scratch(spark, "t")).collect()}
+        x = unit(x.astype(float))
+        near = x @ x.T >= 0.95
+        np.fill_diagonal(near, False)
+        true = near.sum(axis=1)
+        assert all(got[n] <= true[n] for n in range(len(x)))
+        assert sum(got.values()) >= 0.97 * true.sum(), common
