@@ -105,6 +105,8 @@ OTHERS = (
     "The public work is under general version control.",
     "This file is subject to change without notice.",
 )
+# General words of notices, which with those of OTHERS are no cue.
+GENERAL = ("as", "can", "has", "it", "may", "that", "v", "with", "3")
 TOKEN = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
 
 
@@ -136,7 +138,7 @@ def _variants(text: str, rng: np.random.Generator, filler: list[str], count: int
     return out
 
 
-def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int = 500, rate: float = 2.0, penalty: float = 1e-3) -> Model:
+def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int = 500, rate: float = 2.0, penalty: float = 1e-3, fair: float = 0.05) -> Model:
     """Fit on the notices and on paragraphs of the corpus that count as no notice."""
     rng = np.random.default_rng(seed)
     families = [*sorted(NOTICES), UNKNOWN]
@@ -148,16 +150,23 @@ def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int
             texts += got
             label += [k] * len(got)
     notice_words = {w for t in NOTICES.values() for n in t for w in _tokens(n)}
-    # Corpus paragraphs that hold one of these words might be notices themselves and are not used.
+    # Corpus paragraphs that hold one of these words, or a fair share of a notice's n-grams with a
+    # cue, might be notices themselves and are not used; cues do not depend on the corpus.
     telling = {"license", "licensed", "copyright", "spdx-license-identifier"}
-    plain = [p for p in paragraphs if not telling & set(_tokens(p))]
-    plain_words = {w for p in (*OTHERS, *plain) for w in _tokens(p)}
+    general = {w for p in (*OTHERS, *GENERAL) for w in _tokens(p)}
+    cues = sorted(w for w in notice_words if w in telling or w not in general)
+    cue_set = set(cues)
+    with_cue = [{g for g in _grams(_tokens(n)) if cue_set & set(g.split())} for t in NOTICES.values() for n in t]
+
+    def like_notice(p: str) -> bool:
+        mine = _grams(_tokens(p)) if cue_set & set(_tokens(p)) else set()
+        return any(len(mine & t) >= fair * len(t) for t in with_cue)
+
+    plain = [p for p in paragraphs if not telling & set(_tokens(p)) and not like_notice(p)]
     for p in [*OTHERS * 6, *plain]:
         texts.append(p)
         label.append(len(families) - 1)
-    cues = sorted(w for w in notice_words if w in telling or w not in plain_words)
-    cue_set = set(cues)
-    vocabulary = sorted({g for t in NOTICES.values() for n in t for g in _grams(_tokens(n)) if cue_set & set(g.split())})
+    vocabulary = sorted(set().union(*with_cue))
     at = {g: n for n, g in enumerate(vocabulary)}
     x = np.zeros((len(texts), len(vocabulary)), np.float32)
     for row, text in enumerate(texts):

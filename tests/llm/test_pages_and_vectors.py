@@ -45,6 +45,14 @@ def test_licence_scan_of_odd_rows(spark, model):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_notices_of_the_sample_are_not_taught_as_unknown(spark):
+    wanted = [("mit", licences.NOTICES["mit"][1]), ("bsd", licences.NOTICES["bsd"][1]), ("cc0", licences.NOTICES["cc0"][0])]
+    model = licences.train([p for _, p in wanted] + ["mit der und die", "Some other words of a text."])
+    docs = spark.createDataFrame([(n, text) for n, (_, text) in enumerate(wanted)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licences.scan(docs, model, Scratch(spark, "t")).collect()}
+    assert got == {n: [family] for n, (family, _) in enumerate(wanted)}
+
+
 # ---- urls
 
 
