@@ -14,7 +14,8 @@ give the probabilities.  A prediction is confirmed if the paragraph holds a larg
 enough share of the n-grams of one of the family's templates.
 
 Rows
-    A paragraph is a line.  Null and empty texts have none.  Rows that share an id
+    A paragraph is a line, or a run of lines over which a notice is wrapped; a line
+    without a letter or digit ends a run.  Null and empty texts have none.  Rows that share an id
     share what is found in any of them; a null id counts as an id.  Ties between
     families go to the first by name.  An empty table gives no rows.  Long texts are
     read to their end; further columns are not read.
@@ -219,7 +220,7 @@ def _local(spark, rows: list[dict], schema: str) -> DataFrame:
 
 
 def scan_paragraphs(paragraphs: DataFrame, model: Model, least: float = 0.5, share: float = 0.6) -> DataFrame:
-    """family, probability and confirmed of each distinct value of ``paragraph``; only
+    """family, probability, held (share of a template) and confirmed of each distinct value of ``paragraph``; only
     those with a cue come back, and those that are found unknown do not."""
     spark = paragraphs.sparkSession
     distinct = paragraphs.select("paragraph").distinct()
@@ -248,24 +249,65 @@ def scan_paragraphs(paragraphs: DataFrame, model: Model, least: float = 0.5, sha
     templates = _local(spark, templates, "t_family: string, template: int, t_gram: string, size: int")
     found = scored.join(table, "paragraph").join(F.broadcast(templates), (F.col("gram") == F.col("t_gram")) & (F.col("family") == F.col("t_family")))
     held = found.groupBy("paragraph", "family", "probability", "template").agg((F.count("*") / F.max("size")).alias("held"))
-    return held.groupBy("paragraph", "family", "probability").agg((F.max("held") >= share).alias("confirmed"))
+    return held.groupBy("paragraph", "family", "probability").agg(F.max("held").alias("held"), (F.max("held") >= share).alias("confirmed"))
+
+
+def _units(documents: DataFrame, cue: str, reach: int) -> DataFrame:
+    """Lines, and runs of lines that a wrapped notice may fill, that hold a cue: doc_id, block, the
+    places lo and hi of the first and last line in the block, and paragraph.
+
+    A block ends at a line without a letter or digit.  Lines between the first and the last of a
+    run hold at most ``reach`` words together; of these two the nearest ``reach`` words count."""
+    text = F.col("text").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), r"(?dm)^[^\p{L}\p{N}\n]++$", "")
+    blocks = documents.where(text.rlike(cue)).select("doc_id", F.explode(F.split(plain, "\n\n+")).alias("text"))
+    blocks = blocks.where(F.col("text").rlike(cue)).select("doc_id", F.monotonically_increasing_id().alias("block"), F.split("text", "\n").alias("lines"))
+    words = F.transform("lines", lambda x: F.struct(x.alias("line"), x.rlike(cue).alias("hit"), F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0)).alias("words")))
+
+    def ends(x: Column) -> Column:
+        n = F.size(x["words"])
+        tail = F.slice(x["words"], F.greatest(F.lit(1), n - (reach - 1)), reach)
+        return F.struct(x["line"].alias("line"), x["hit"].alias("hit"), n.alias("n"), F.array_join(F.slice(x["words"], 1, reach), " ").alias("head"), F.array_join(tail, " ").alias("tail"))
+
+    lines = blocks.select("doc_id", "block", F.transform(words, ends).alias("lines"))
+    starts = lines.select("doc_id", "block", F.posexplode(F.transform("lines", lambda _, i: F.slice("lines", i + 1, reach + 2))).alias("lo", "run"))
+    starts = starts.where(F.exists("run", lambda x: x["hit"]))
+    # the furthest line that a run from here can end at
+    none = F.struct(F.lit(0).alias("words"), F.lit(1).alias("last"))
+    grown = lambda a, x: F.when(a["words"] > reach, a).otherwise(F.struct((a["words"] + x["n"]).alias("words"), (a["last"] + 1).alias("last")))
+    last = F.aggregate(F.slice("run", 2, reach + 1), none, grown)["last"]
+    several = F.transform(
+        F.filter(F.sequence(F.lit(1), last), lambda k: F.exists(F.slice("run", 1, k), lambda x: x["hit"])),
+        lambda k: F.struct(
+            (k - 1).alias("more"),
+            F.when(k == 1, F.col("run")[0]["line"]).otherwise(F.concat_ws(" ", F.col("run")[0]["tail"], F.transform(F.slice("run", 2, k - 1), lambda x: x["head"]))).alias("paragraph"),
+        ),
+    )
+    each = starts.select("doc_id", "block", "lo", F.explode(several).alias("u"))
+    return each.select("doc_id", "block", "lo", (F.col("lo") + F.col("u.more")).alias("hi"), F.col("u.paragraph").alias("paragraph"))
 
 
 def scan(documents: DataFrame, model: Model, scratch: Scratch, **options) -> DataFrame:
     """doc_id, families (confirmed ones), unconfirmed (others that are predicted), the number
     of paragraphs that are confirmed notices, and the highest probability of these."""
     cue = "(?iu)(?<![\\p{L}\\p{N}])(?:" + "|".join(re.escape(c) for c in model.cues) + ")(?![\\p{L}\\p{N}])"
-    text = F.col("text").cast("string")
-    ids = documents.select("doc_id", text.alias("text"))
-    lines = ids.select("doc_id", F.explode(F.filter(_paragraphs(F.col("text")), lambda p: p.rlike(cue))).alias("paragraph"))
-    # a notice counts once for each document with the number of its occurrences
-    lines = scratch.keep(lines.groupBy("doc_id", "paragraph").agg(F.count("*").alias("n")), "lines")
-    judged = scan_paragraphs(lines, model, **options)
-    hits = lines.join(judged, "paragraph").groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
-        F.array_sort(F.collect_set(F.when(~F.col("confirmed"), F.col("family")))).alias("unconfirmed"),
-        F.sum(F.when(F.col("confirmed"), F.col("n")).otherwise(0)).alias("paragraphs"),
-        F.round(F.max(F.when(F.col("confirmed"), F.col("probability"))), 6).alias("probability"),
+    ids = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    reach = 3 * max(len(_tokens(n)) for t in NOTICES.values() for n in t) // 2
+    units = scratch.keep(_units(ids, cue, reach), "units")
+    judged = scan_paragraphs(units, model, **options)
+    # of runs that overlap, the one that holds most of its template counts, then the shortest
+    found = units.join(judged, "paragraph").groupBy("doc_id", "block").agg(
+        F.array_sort(F.collect_list(F.when(F.col("confirmed"), F.struct((-F.col("held")).alias("lacks"), (F.col("hi") - F.col("lo")).alias("more"), "lo", "hi", "family", "probability")))).alias("sure"),
+        F.collect_list(F.when(~F.col("confirmed") & (F.col("lo") == F.col("hi")), F.struct("lo", "family"))).alias("unsure"),
+    )
+    overlaps = lambda a, lo, hi: F.exists(a, lambda t: (t["lo"] <= hi) & (lo <= t["hi"]))
+    taken = F.aggregate("sure", F.slice("sure", 1, 0), lambda a, w: F.when(overlaps(a, w["lo"], w["hi"]), a).otherwise(F.concat(a, F.array(w))))
+    found = found.select("doc_id", taken.alias("taken"), "unsure")
+    hits = found.groupBy("doc_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col("taken.family"))))).alias("families"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(F.filter("unsure", lambda u: ~overlaps(F.col("taken"), u["lo"], u["lo"])), lambda u: u["family"]))))).alias("unconfirmed"),
+        F.sum(F.size("taken")).alias("paragraphs"),
+        F.round(F.max(F.array_max(F.col("taken.probability"))), 6).alias("probability"),
     )
     none = F.array().cast("array<string>")
     hits = hits.withColumnRenamed("doc_id", "hit_id")

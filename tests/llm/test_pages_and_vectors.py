@@ -53,6 +53,23 @@ def test_notices_of_the_sample_are_not_taught_as_unknown(spark):
     assert got == {n: [family] for n, (family, _) in enumerate(wanted)}
 
 
+def test_wrapped_notices(spark, model):
+    import textwrap
+
+    rows, wanted = [], {}
+    for family in ("mit", "bsd", "gpl", "agpl", "apache"):
+        for width, mark in ((72, ""), (76, "# "), (40, " * ")):
+            body = [mark + line for line in textwrap.wrap(licences.NOTICES[family][1], width)]
+            rows.append((len(rows), "\n".join(["int main;", mark.strip(), *body, mark.strip(), "some other words"])))
+            wanted[len(rows) - 1] = ([family], 1)
+    mit = textwrap.wrap(licences.NOTICES["mit"][1], 72)
+    rows.append((len(rows), "\r\n".join([*mit, *mit, licences.NOTICES["apache"][0]])))
+    wanted[len(rows) - 1] = (["apache", "mit"], 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.paragraphs) for r in licences.scan(docs, model, Scratch(spark, "t")).collect()}
+    assert got == wanted
+
+
 # ---- urls
 
 
