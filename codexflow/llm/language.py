@@ -4,7 +4,8 @@ A text becomes a vector of hashed letter bigrams and trigrams (lower case, runs
 other characters as one space), with log counts times inverse document frequency,
 normalised.  Each language is a few centroids found by spherical k-means, and the
 language of the closest centroid by cosine is predicted.  A text is rejected if
-its cosine is below what short and long passages of the training texts reach.
+its cosine is below what all but ``lowest`` of the training texts' passages of its
+length reach, so a few odd texts among them do not set the threshold.
 
 Fitted on a bounded sample: ``per_language`` documents of each language, those
 with the smallest hash of their id, whole.  Everything else reads every row.
@@ -110,7 +111,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per_language: int = 300, clusters: int = 4, slack: float = 0.5, max_model_bytes: int = 64 << 20) -> Model:
+def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per_language: int = 300, clusters: int = 4, lowest: float = 0.005, max_model_bytes: int = 64 << 20) -> Model:
     """Learn from text and lang of the rows where ``train`` holds (by default those not held out)."""
     spark = documents.sparkSession
     train = ~held_out(F.col("doc_id")) if train is None else train
@@ -180,13 +181,13 @@ def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per
                 yield pa.RecordBatch.from_arrays([pa.array(np.log2(counts.sum(axis=1)).astype(np.int32)), pa.array(best)], ["size", "cosine"])
 
     spread = table.select("at", "n").repartition(spark.sparkContext.defaultParallelism)
-    low = {r["size"]: r["low"] for r in spread.mapInArrow(cosines, "size int, cosine double").groupBy("size").agg(F.min("cosine").alias("low")).collect()}
+    low = {r["size"]: r["low"] for r in spread.mapInArrow(cosines, "size int, cosine double").groupBy("size").agg(F.percentile("cosine", F.lit(lowest)).alias("low")).collect()}
     least, above = np.zeros(40), np.inf
     for size in range(39, -1, -1):  # what a length asks for is never more than what a longer one does
         above = min(above, low.get(size, np.inf))
         least[size] = above
     longest = max((v for v in least if np.isfinite(v)), default=0.0)
-    model.least = slack * np.where(np.isfinite(least), least, longest)
+    model.least = np.where(np.isfinite(least), least, longest)
     return model
 
 

@@ -211,6 +211,15 @@ def test_languages_of_held_out_documents(spark):
     assert language.identify(alien, model).first().rejected
 
 
+def test_other_languages_and_random_letters_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs, Scratch(spark, "t"))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej deklaracji bez względu na różnice rasy, koloru, płci, języka, wyznania, poglądów politycznych i innych przekonań."
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (50, 200, 1000, 2000)]
+    assert all(rejected for _, _, rejected in model.predict([language.gram_counts(t) for t in (polish, *noise)]))
+
+
 def test_languages_of_odd_rows(spark):
     docs = odd_documents(spark)
     got = language.identify(docs, language.fit(docs, Scratch(spark, "t"), train=F.lit(True)), [F.col("doc_id"), F.col("text")]).collect()
