@@ -78,3 +78,19 @@ def test_streams(spark, tmp_path):
     feeds.write(feeds.sessions(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     done = spark.read.schema("user_id long, start timestamp, end timestamp, events long").parquet(str(tmp_path / "out"))
     assert 0 < done.agg({"events": "sum"}).first()[0] <= events.count()
+
+
+def test_lda_query_does_the_whole_job(spark, monkeypatch):
+    from codexflow.plans import relational
+
+    seen, fit = {}, topics.fit_lda
+
+    def spy(cells, vocab, *args, **options):
+        theta, phi = fit(cells, vocab, *args, **options | {"rounds": 2})
+        seen.update(options, words=vocab.count(), least=cells.groupBy("word").count().agg({"count": "min"}).first()[0], fitted=phi.select("word").distinct().count(), sums=phi.groupBy("topic").sum("p").collect())
+        return theta, phi
+
+    monkeypatch.setattr(topics, "fit_lda", spy)
+    assert relational.topic_lda(spark, "/root/testdata/sf0.001").count() == 60
+    assert seen["rounds"] == 80 and seen["share"] == 1.0 and seen["least"] == 3 and seen["fitted"] == seen["words"] > 500
+    assert all(abs(r[1] - 1) < 1e-9 for r in seen["sums"])
