@@ -361,8 +361,8 @@ def focus_neighbours(spark, sf_dir):
 
 
 def network_measures(spark, sf_dir):
-    """Centralities of the strongest nodes; the graph that comes to the driver has at most 60 nodes."""
-    edges = [tuple(r) for r in network.strongest(_edges(spark, sf_dir), 60).collect()]
+    """Centralities of the strongest nodes; the graph that comes to the driver has at most 300 nodes."""
+    edges = [tuple(r) for r in network.strongest(_edges(spark, sf_dir), 300).collect()]
     found = network.measures(edges)["nodes"]
     names = ("degree", "strength", "betweenness", "closeness", "eigenvector", "clustering", "component")
     rows = [(int(v), *(round(float(m[n]), 6) for n in names)) for v, m in sorted(found.items())]

@@ -94,3 +94,10 @@ def test_lda_query_does_the_whole_job(spark, monkeypatch):
     assert relational.topic_lda(spark, "/root/testdata/sf0.001").count() == 60
     assert seen["rounds"] == 80 and seen["share"] == 1.0 and seen["least"] == 3 and seen["fitted"] == seen["words"] > 500
     assert all(abs(r[1] - 1) < 1e-9 for r in seen["sums"])
+
+
+def test_network_measures_keep_300_nodes(spark):
+    from codexflow.plans import relational
+
+    there = relational.network_degree(spark, "/root/testdata/sf0.01").count()
+    assert relational.network_measures(spark, "/root/testdata/sf0.01").count() == min(300, there) > 60
