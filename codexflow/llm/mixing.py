@@ -107,7 +107,7 @@ def plan(documents: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (3
     fields = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_no", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("shards", T.IntegerType())])
     table = spark.createDataFrame([(r["source"], n, r["size"], goal[n], shards[n]) for n, r in enumerate(sources)], fields)
     placed = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).select(
-        "doc_id", "size", "order_hash", "source_no", "source_size", "target",
+        "doc_id", sized["source"], "size", "order_hash", "source_no", "source_size", "target",
         F.pmod(F.xxhash64(F.col("order_hash"), F.lit(seed)), F.col("shards")).cast("int").alias("shard"),
     )
     sums = placed.where("size > 0").groupBy("source_no", "shard").agg(F.sum("size").alias("words")).orderBy("source_no", "shard").collect()
@@ -147,7 +147,7 @@ def runs(placed: DataFrame, quotas: DataFrame, seed: int = 17, block_words: int
         (F.greatest(F.col("begin"), lo) - F.col("begin")).alias("lo"), (F.least(F.col("end"), hi) - F.col("begin")).alias("hi")
     )
     parts = F.filter(F.array(cut(at, F.least(at + rest, F.col("words"))), cut(F.lit(0), over)), lambda p: p["hi"] > p["lo"])
-    return joined.select("doc_id", "size", "source_size", "target", "order_hash", F.when(F.col("size") > 0, whole).otherwise(0).alias("whole"), parts.alias("parts"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "order_hash", F.when(F.col("size") > 0, whole).otherwise(0).alias("whole"), parts.alias("parts"))
 
 
 def taken(documents: DataFrame, scratch: Scratch, **options) -> DataFrame:
@@ -163,11 +163,14 @@ def mixed_documents(documents: DataFrame, scratch: Scratch, **options) -> DataFr
     part keep the words of the run and the white space between them."""
     seed, block = options.get("seed", 17), options.get("block_words", 16)
     placed, quotas = plan(documents, scratch, **options)
-    picked = scratch.keep(runs(placed, quotas, seed, block).where("whole > 0 or size(parts) > 0").select("doc_id", "order_hash", "size", "whole", "parts").dropDuplicates(["doc_id", "order_hash"]), "picked")
+    picked = scratch.keep(runs(placed, quotas, seed, block).where("whole > 0 or size(parts) > 0").select("doc_id", "source", "order_hash", "whole", "parts"), "picked")
     columns = documents.columns
     keyed = documents.withColumn("_order_hash", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64(F.col("text"))))
-    picked = picked.select(F.col("doc_id").alias("_id"), F.col("order_hash").alias("_hash"), F.col("whole").alias("_whole"), F.col("parts").alias("_parts"))
-    both = keyed.join(picked, keyed["doc_id"].cast("long").eqNullSafe(picked["_id"]) & (keyed["_order_hash"] == picked["_hash"]))
+    # equal rows of a source have shares of their own: they are numbered on both sides
+    keyed = keyed.withColumn("_no", F.row_number().over(W.partitionBy(F.col("doc_id").cast("long"), "_order_hash", F.col("source").cast("string")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns]))))
+    number = F.row_number().over(W.partitionBy("doc_id", "order_hash", "source").orderBy(F.col("whole").desc(), "parts"))
+    picked = picked.select(F.col("source").alias("_source"), number.alias("_number"), F.col("doc_id").alias("_id"), F.col("order_hash").alias("_hash"), F.col("whole").alias("_whole"), F.col("parts").alias("_parts"))
+    both = keyed.join(picked, keyed["doc_id"].cast("long").eqNullSafe(picked["_id"]) & (keyed["_order_hash"] == picked["_hash"]) & keyed["source"].cast("string").eqNullSafe(picked["_source"]) & (keyed["_no"] == picked["_number"]))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     copies = F.concat(
         F.array_repeat(F.struct(F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")), F.col("_whole").cast("int")),

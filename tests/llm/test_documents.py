@@ -185,6 +185,15 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mixed_documents(docs, Scratch(spark, "t")).columns == docs.columns
 
 
+def test_equal_rows_have_shares_of_their_own(spark):
+    rows = [(None, "one two three four five six seven eight", "en", source, 1) for source in "aaaaaaabbbbbbb"]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    for options in ({}, {"share": 0.6}):
+        shares = mixing.taken(docs, Scratch(spark, "t"), **options).agg({"taken": "sum"}).first()[0]
+        words = mixing.mixed_documents(docs, Scratch(spark, "t"), **options).select(F.sum(mixing.word_count(F.col("text")))).first()[0]
+        assert words == shares > 0
+
+
 # ---- languages
 
 
