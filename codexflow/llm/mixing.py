@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The mix is made of blocks of ``block_words`` words.  Sources get whole numbers
+The mix is made of blocks of ``block_words`` words; sources with a target of less
+than eight blocks are apportioned by the word.  The others get whole numbers
 of blocks by highest quotients (target over 1, 3, 5, ...), and each source's
 blocks are dealt to its shards in the same way by the shards' words.  A shard
 lays its documents end to end in a seeded order; its quota is the whole shard as
@@ -111,19 +112,22 @@ def plan(documents: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (3
         F.pmod(F.xxhash64(F.col("order_hash"), F.lit(seed)), F.col("shards")).cast("int").alias("shard"),
     )
     sums = placed.where("size > 0").groupBy("source_no", "shard").agg(F.sum("size").alias("words")).orderBy("source_no", "shard").collect()
-    blocks = int(sum(goal) // block_words)
     by_source: dict[int, list] = {}
     for r in sums:
         by_source.setdefault(r["source_no"], []).append(r)
-    quota = sainte_lague(np.array(goal), blocks, np.array([2 * size // block_words for size in sizes], np.int64))
+    # sources of a few blocks are apportioned by the word, the others by the block
+    wanted, caps = np.array(goal), 2 * np.array(sizes, np.int64)
+    small = wanted < 8 * block_words
+    quota = sainte_lague(np.where(small, wanted, 0.0), round(float(wanted[small].sum())), caps)
+    quota += sainte_lague(np.where(small, 0.0, wanted), int(sum(goal) - quota.sum()) // block_words, caps // block_words) * block_words
     dealt = []
     for n, rows in by_source.items():
         words = np.array([r["words"] for r in rows], np.int64)
-        given = sainte_lague(words, int(quota[n]), 2 * words // block_words) * block_words
+        given = sainte_lague(words, int(quota[n]) // block_words, 2 * words // block_words) * block_words
         # what does not fit in whole blocks goes to the shards' last words
         spare = 2 * words - given
         before = np.cumsum(spare) - spare
-        given += np.clip(int(quota[n]) * block_words - int(given.sum()) - before, 0, spare)
+        given += np.clip(int(quota[n]) - int(given.sum()) - before, 0, spare)
         dealt += [(n, r["shard"], int(r["words"]), int(g)) for r, g in zip(rows, given, strict=True)]
     if not dealt:
         dealt = [(-1, 0, 1, 0)]

@@ -194,6 +194,13 @@ def test_equal_rows_have_shares_of_their_own(spark):
         assert words == shares > 0
 
 
+def test_small_sources_stay_in_the_mix(spark):
+    rows = [(n, sentence(random.Random(n), 3), "en", f"s{n:02}", 1) for n in range(30)] + [(99, sentence(random.Random(99), 4000), "en", "z", 1)]
+    got = mixing.taken(spark.createDataFrame(rows, DOCUMENTS), Scratch(spark, "t")).collect()
+    assert all(r.taken > 0 and abs(r.taken - r.target) <= 1 for r in got if r.doc_id < 99)
+    assert abs(sum(r.taken for r in got) - sum(r.target for r in got)) <= 16
+
+
 # ---- languages
 
 
