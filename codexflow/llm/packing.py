@@ -3,16 +3,18 @@
 Each task packs its own documents as they come: an open bin is found by the
 smallest free space that still takes the piece, with a bitset whose bit f says
 that some open bin has f tokens free.  At most ``open_bins`` are open; when one
-more is needed the fullest is closed.  The bins still open at the end of a task
-are taken apart and packed again, longest pieces first, together with those of
-other tasks (``fan_in`` tasks at a time, in as many rounds as that takes), so no
-task sees more than a fixed number of bins from each task before it.
+more is needed the fullest is closed.  The pieces of the bins still open at the end
+of a task are a stream again, which is packed by the same rule together with those
+of other tasks (``fan_in`` tasks at a time, in as many rounds as that takes).  So no
+task sees more than ``fan_in`` times ``open_bins`` bins of the round before, however
+many tasks there were, and none holds more than ``open_bins`` of them at once.
 
 Rows
     Null and empty texts are one end id long.  A document over the capacity is cut
     into full sequences, the first piece taking what remains.  Repeated rows are
-    packed as often as they occur.  An empty table gives no rows.  Columns
-    other than the id and the text are not read.
+    packed as often as they occur.  Ties: of bins with the same free space the one
+    that got it last is used first.  An empty table gives no rows.  Columns other
+    than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -128,29 +130,39 @@ def pack(documents: DataFrame, scratch: Scratch, tokenizer_path: str, end_id: in
     level = 0
     while last is not None:
         level += 1
-        final = last < fan_in
+        groups = last // fan_in + 1
+        final = groups == 1
         base = level << 58
 
-        def again(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            group = key[0].as_py()
-            packer = BestFit(capacity, open_bins if not final else 1 << 30, base + (group << 36))
-            out: list[tuple] = []
+        def again(batches, base=base, final=final):
+            """Streams of one group after another."""
+            group, packer = None, None
+            rows: list[tuple] = []
 
             def emit(bins, closed=True):
                 for number, content in bins:
-                    out.extend((*piece, number, offset, group, closed) for piece, offset in content)
-
-            pieces = list(zip(*(table.column(c).to_pylist() for c in _NAMES[:5]), strict=True))
-            pieces.sort(key=lambda p: (-p[3], p[0] is None, p[0] or 0, p[1]))
-            for piece in pieces:
-                emit(packer.add(piece, piece[3]))
-            emit(packer.rest(), closed=final)
-            return pa.Table.from_batches([_batch(out)])
-
-        group = F.floor(F.col("task") / fan_in).cast("int")
-        packed = scratch.keep(left.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(again, PIECES), f"repacked{level}")
+                    rows.extend((*piece, number, offset, group, closed) for piece, offset in content)
+
+            for batch in batches:
+                for found, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if found != group:
+                        if packer is not None:
+                            emit(packer.rest(), closed=final)
+                        group, packer = found, BestFit(capacity, open_bins, base + (found << 36))
+                    emit(packer.add(tuple(piece), piece[3]))
+                if len(rows) > 20_000:
+                    yield _batch(rows)
+                    rows.clear()
+            if packer is not None:
+                emit(packer.rest(), closed=final)
+            if rows:
+                yield _batch(rows)
+
+        stream = left.withColumn("pack_group", F.floor(F.col("task") / fan_in).cast("int"))
+        stream = stream.repartition(groups, "pack_group").sortWithinPartitions("pack_group", "task", "sequence_id", "offset").select("pack_group", *_NAMES[:5])
+        packed = scratch.keep(stream.mapInArrow(again, PIECES), f"repacked{level}")
         parts.append(packed.where("closed"))
-        left, last = packed.where("not closed"), None if final else last // fan_in
+        left, last = packed.where("not closed"), None if final else groups - 1
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -58,13 +58,57 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack(empty(spark), Scratch(spark, "t"), PATH).collect() == []
 
 
-def test_packing_is_dense_over_many_tasks_and_rounds(spark):
+def plain_best_fit(lengths, capacity, most):
+    """(closed sequences, lengths in the open ones by their age) of one stream, by looking at every open bin."""
+    bins, closed, no = [], 0, 0  # (free, age, lengths); the last put in comes last
+    for n in lengths:
+        fits = [b for b in bins if b[0] >= n]
+        got = max((b for b in fits if b[0] == min(fits)[0]), key=bins.index) if fits else None
+        if got:
+            bins.remove(got)
+        else:
+            got, no = (capacity, no, []), no + 1
+        got = (got[0] - n, got[1], got[2] + [n])
+        if got[0] == 0:
+            closed += 1
+            continue
+        bins.append(got)
+        if len(bins) > most:
+            least = min(b[0] for b in bins)
+            bins.remove(got if got[0] == least else [b for b in bins if b[0] == least][-1])
+            closed += 1
+    return closed, [b[2] for b in sorted(bins, key=lambda b: b[1])]
+
+
+def test_packing_over_many_tasks_and_rounds_follows_the_rule(spark):
     rng = random.Random(2)
     texts = [(n, sentence(rng, rng.randint(1, 60))) for n in range(600)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(9)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(9).cache()
+    tasks = docs.select("doc_id", F.spark_partition_id().alias("task")).collect()
     rows = packing.pack(docs, Scratch(spark, "t"), PATH, capacity=128, open_bins=8, fan_in=2).collect()
+    docs.unpersist()
     used = check_packing(rows, texts, 128)
-    assert used <= 1.03 * sum(r.length for r in rows) / 128 + 1
+    pieces = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        pieces.setdefault(r.doc_id, []).append(r.length)
+    streams = [[n for r in tasks if r.task == t for n in pieces[r.doc_id]] for t in range(9)]
+    closed, rounds = 0, 0
+    while rounds < 5:  # 9 tasks, then 5, 3, 2 and 1
+        found = [plain_best_fit(x, 128, 8) for x in streams]
+        closed, rounds = closed + sum(f[0] for f in found), rounds + 1
+        left = [[n for b in f[1] for n in b] for f in found]
+        streams = [sum(left[g : g + 2], []) for g in range(0, len(left), 2)]
+    assert len(found) == 1 and used == closed + len(found[0][1])
+
+
+def test_packing_is_dense(spark):
+    rng = random.Random(2)
+    texts = [(n, sentence(rng, int(rng.lognormvariate(2.5, 1)) + 1)) for n in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(9)
+    rows = packing.pack(docs, Scratch(spark, "t"), PATH, capacity=256, open_bins=64, fan_in=4).collect()
+    used = check_packing(rows, texts, 256)
+    closed, open_ = plain_best_fit([r.length for r in sorted(rows, key=lambda r: (r.doc_id, r.piece))], 256, 64)
+    assert used <= 1.01 * (closed + len(open_)) + 1 and used <= 1.03 * sum(r.length for r in rows) / 256 + 1
 
 
 def test_best_fit_takes_the_smallest_space_and_closes_the_fullest():
