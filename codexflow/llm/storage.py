@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -57,6 +58,14 @@ class Scratch:
             hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def spread(files: DataFrame, size: str, most: int) -> DataFrame:
+    """A table of files, dealt to as many tasks as their sizes ask for: a file to a task while
+    there are few, and about ``most`` (in the unit of the column ``size``) when there are many."""
+    found = files.agg(F.count("*").alias("n"), F.sum(size).alias("size")).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(max(1, min(found["n"], max(4 * cores, -(-(found["size"] or 0) // most)))))
+
+
 def open_out(uri: str):
     """A binary output stream at a URI, from an executor."""
     from pyarrow import fs

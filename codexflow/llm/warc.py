@@ -9,12 +9,15 @@ number, checked against the total length, joined, and only then is the HTTP
 framing undone: header fields are set apart and a chunked body is put together.
 
 Rows
-    A null payload counts as empty.  Repeated page ids are records of their own.
-    A null page id comes back as null; among equal payloads it is the response only
-    if no page with an id holds the same.  Payloads of less than ``revisit_from``
-    bytes are always responses.  An empty table gives no archive and no rows.
-    Columns other than the id, the url and the payload are not read.  A record that
-    cannot be put together comes back with a ``problem`` and no payload.
+    A null payload counts as empty.  Repeated page ids are records of their own; if
+    theirs is the smallest id of a payload they are all responses, and revisits name the
+    first of them in the table.  A null page id comes back as null; among equal payloads it is the
+    response only if no page with an id holds the same.  Payloads of less than
+    ``revisit_from`` bytes are always responses.  Long payloads are written in segments.
+    An empty table gives no archive and no rows.  Columns other than the id, the url and
+    the payload are not read, whatever their names.  A record that cannot be put together
+    comes back with a ``problem`` and no payload, and so does a revisit whose response is
+    missing, broken or of another digest.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch, open_in, open_out
+from .storage import Scratch, open_in, open_out, spread
 
 ARCHIVES = "path string, records long, bytes long"
 PARTS = "record_id string, origin_id string, segment int, total long, kind string, target string, refers_to string, digest string, block binary"
@@ -133,19 +136,23 @@ def read_archive(file) -> Iterator[tuple[dict[str, str], bytes]]:
 def write_archives(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = 0, segment_bytes: int = 32 << 10, chunk_bytes: int = 8 << 10, archive_bytes: int = 32 << 20) -> DataFrame:
     """Write every row as a record; gives the archives that count.
 
-    Equal payloads meet by their SHA-1 and length: only the digest and the smallest
-    id are brought together, with partial sums first, and the join with the rows is
-    one that Spark can split where one payload is very frequent."""
+    Equal payloads meet by their SHA-1: only the digest and the smallest id are brought
+    together, with partial sums first, and the join with the rows is one that Spark can
+    split where one payload is very frequent.  A record's id is made of the page's id and
+    the row's place in the table, which is read twice and has to come in the same
+    partitions and order both times, as the scan of stored files does."""
     rows = pages.select(
         F.col(f"`{page_id}`").cast("long").alias("page_id"),
         F.col(f"`{url}`").cast("string").alias("url"),
         F.encode(F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumn("digest", F.unhex(F.sha1("payload")))
-    held = rows.select("page_id", "digest", F.length("payload").alias("n"))
-    first = held.where(F.col("n") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("first_digest"), "first_id")
+    ).withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("row", F.monotonically_increasing_id())
+    held = rows.select("page_id", "digest", "row", F.length("payload").alias("n"))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+    first = held.where(F.col("n") >= revisit_from).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("first_digest"), "first")
+    name = lambda page, row: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
     marked = rows.join(first, rows["digest"] == first["first_digest"], "left").select(
-        "page_id", "url", "digest", "payload",
-        F.when(F.col("first_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"),
+        name(F.col("page_id"), F.col("row")).alias("record_id"), "url", "digest", "payload",
+        F.when(F.col("first_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), name(F.col("first.page_id"), F.col("first.row"))).alias("refers_to"),
     )
     folder = scratch.path("archives")
 
@@ -153,22 +160,20 @@ def write_archives(pages: DataFrame, scratch: Scratch, page_id: str = "page_id",
         from pyspark import TaskContext
 
         pid, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:8]
-        out, path, size, count, number, row_no = None, "", 0, 0, 0, 0
+        out, path, size, count, number = None, "", 0, 0, 0
 
         def done():
             out.close()
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
 
         for batch in batches:
-            for page, target, digest, body, origin in zip(*(batch.column(n) for n in range(5)), strict=True):
-                page, origin, body, digest = page.as_py(), origin.as_py(), body.as_py(), base64.b32encode(digest.as_py()).decode()
-                row_no += 1
+            for record_id, target, digest, body, origin in zip(*(batch.column(n) for n in range(5)), strict=True):
+                record_id, origin, body, digest = record_id.as_py(), origin.as_py(), body.as_py(), base64.b32encode(digest.as_py()).decode()
                 target = (target.as_py() or "").replace("\r", "%0D").replace("\n", "%0A")
-                record_id = f"<urn:page:{'' if page is None else page}:{pid}-{row_no}>"
                 common = [("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
                 if origin is not None:
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
-                    records = [record_bytes([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id), ("WARC-Refers-To", f"<urn:page:{origin}>"), ("WARC-Profile", PROFILE), *common], block)]
+                    records = [record_bytes([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id), ("WARC-Refers-To", origin), ("WARC-Profile", PROFILE), *common], block)]
                 else:
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(body, chunk_bytes)
                     cuts = range(0, len(block), segment_bytes)
@@ -260,20 +265,24 @@ def read_archives(archives: DataFrame, scratch: Scratch) -> DataFrame:
                 if rows:
                     yield _table(rows, _PART_NAMES, _PART_TYPES)
 
-    found = scratch.keep(archives.select("path").repartition(F.col("path")).mapInArrow(parts, PARTS), "records")
+    found = scratch.keep(spread(archives, "bytes", 128 << 20).select("path").mapInArrow(parts, PARTS), "records")
     single = found.where("segment is null").select("record_id", "kind", "target", "refers_to", F.col("total").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("origin_id").alias("problem"))
 
     def join(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_table([reassemble(table.to_pylist())], _WHOLE_NAMES, _WHOLE_TYPES)])
 
-    return single.unionByName(found.where("segment is not null").groupBy("origin_id").applyInArrow(join, WHOLE))
+    whole = single.unionByName(found.where("segment is not null").groupBy("origin_id").applyInArrow(join, WHOLE))
+    # a revisit counts only with the response that it names; a frequent response is the small side of a join that Spark can split
+    whole = scratch.keep(whole, "whole")
+    named = whole.where("kind = 'response' and problem is null").select(F.col("record_id").alias("named_id"), F.col("payload_digest").alias("named_digest"), F.col("payload_bytes").alias("named_bytes"))
+    revisits = whole.where("kind = 'revisit' and problem is null").join(named, F.col("refers_to") == F.col("named_id"), "left")
+    right = (F.col("payload_digest") == F.col("named_digest")) & (F.col("payload_bytes") == F.col("named_bytes"))
+    why = F.when(F.col("named_id").isNull(), "no response of that id").when(~right, "the response's payload differs")
+    checked = revisits.withColumn("problem", why).withColumn("payload_bytes", F.when(why.isNull(), F.col("payload_bytes"))).withColumn("payload_digest", F.when(why.isNull(), F.col("payload_digest")))
+    return whole.where("not (kind <=> 'revisit' and problem is null)").unionByName(checked.select(*whole.columns))
 
 
 def page_records(whole: DataFrame) -> DataFrame:
     """Per page: its id, the payload's size and digest, and what its record is."""
-    return whole.select(
-        F.regexp_extract("record_id", r"^<urn:page:(-?\d*):", 1).try_cast("long").alias("page_id"),
-        "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
-        F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("refers_to"),
-        "problem",
-    )
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d*):\d+>$", 1).try_cast("long")
+    return whole.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"), "problem")

@@ -2,17 +2,20 @@
 
 A file holds the ids of consecutive documents.  The symbols that occur are
 renumbered densely, and the sequence is kept as bit-planes from the highest bit
-down; each plane is the stable partition of the one before it.  With a directory
-of ones per 512 bits a plane answers ``rank`` and ``select``, and with these the
-matrix gives the id at a place (``access``), the number of times an id occurs in
-a range (``count``) and its places (``occurrences``) without decoding the rest.
-Planes are compressed one by one and are only opened when they are needed.
+down; each plane is the stable partition of the one before it.  Planes are stored in
+blocks of ``BLOCK`` bits, compressed one by one, and the file holds for every plane
+where its blocks begin and how many ones lie before each.  With these ``rank`` and
+``select`` read one block of a plane, so the id at a place (``access``), the number of
+times an id occurs in a range (``count``) and its places (``occurrences``) cost a block
+or two of each plane, and the rest of the file is neither read nor decoded.
 
 Rows
     Null texts count as empty; every document ends with the end id, so none is
     without ids.  Documents are written in ascending ``doc_id``, null ids first;
     repeated ids stand in the order of their texts.  An empty table gives no
-    files and no rows.  Columns other than the id and the text are not read.
+    files and no rows.  Columns other than the id and the text are not read, whatever
+    their names.  Long texts are encoded whole.  A range of ids is a task's; rows that
+    share an id, or have none, are cut into ranges by the beginnings of their texts.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import json
 import struct
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,22 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .storage import Scratch, open_in, open_out
+from .storage import Scratch, open_in, open_out, spread
 
-MAGIC = b"CFWM\x01"
-BLOCK = 512  # bits to an entry of the rank directory
+MAGIC = b"CFWM\x02"
+KEPT = 256  # blocks that an open file keeps decoded
+BLOCK = 1 << 16  # bits that are compressed together, with an entry in the rank directory
 
 MANIFEST = "pid int, shard int, path string, docs long, tokens long, before long"
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _pack(planes: list[np.ndarray]) -> list[bytes]:
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    return [squeeze(p.tobytes()) for p in planes]
-
-
 def write_matrix(out, ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> None:
     """Write one shard: its ids, and the ids and lengths of its documents."""
     import zstandard
@@ -56,14 +54,19 @@ def write_matrix(out, ids: np.ndarray, doc_ids: list[int | None], lengths: np.nd
     code = np.zeros(len(seen), np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
     code[alphabet] = np.arange(len(alphabet))
     cur = code[ids]
-    planes, zeros = [], []
+    blobs, zeros, before, ends = [], [], [], []
+    thin = zstandard.ZstdCompressor(level=1).compress
     for b in range(bits - 1, -1, -1):
         one = (cur & (1 << b)) != 0
-        planes.append(np.packbits(one, bitorder="little"))
+        plane = np.packbits(one, bitorder="little")
+        parts = [thin(plane[at : at + BLOCK // 8].tobytes()) for at in range(0, len(plane), BLOCK // 8)]
+        blobs.append(b"".join(parts))
+        ends.append(np.cumsum([len(x) for x in parts]))
+        ones = np.add.reduceat(one, np.arange(0, n, BLOCK), dtype=np.int64)
+        before.append(np.cumsum(ones) - ones)
         low = cur[~one]
         zeros.append(len(low))
         cur = np.concatenate([low, cur[one]])
-    blobs = _pack(planes)
     squeeze = zstandard.ZstdCompressor(level=3).compress
     known = np.array([d is not None for d in doc_ids], bool)
     side = [
@@ -71,8 +74,10 @@ def write_matrix(out, ids: np.ndarray, doc_ids: list[int | None], lengths: np.nd
         squeeze(np.array([d or 0 for d in doc_ids], "<i8").tobytes()),
         squeeze(np.packbits(known, bitorder="little").tobytes()),
         squeeze(lengths.astype("<i8").tobytes()),
+        squeeze(np.array(ends, "<u4").tobytes()),
+        squeeze(np.array(before, "<u8").tobytes()),
     ]
-    head = json.dumps({"n": n, "docs": len(doc_ids), "bits": bits, "zeros": zeros, "planes": [len(x) for x in blobs], "side": [len(x) for x in side]}).encode()
+    head = json.dumps({"n": n, "block": BLOCK, "docs": len(doc_ids), "bits": bits, "zeros": zeros, "planes": [len(x) for x in blobs], "side": [len(x) for x in side]}).encode()
     out.write(MAGIC + struct.pack("<I", len(head)) + head)
     for x in (*side, *blobs):
         out.write(x)
@@ -96,47 +101,55 @@ class WaveletMatrix:
         known = np.unpackbits(np.frombuffer(side[2], np.uint8), count=self.docs, bitorder="little")
         self.doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(side[1], "<i8"), known, strict=True)]
         self.lengths = np.frombuffer(side[3], "<i8")
+        self._size = head["block"]
+        blocks = -(-self.n // self._size)
+        self._ends = np.frombuffer(side[4], "<u4").reshape(self.bits, blocks).astype(np.int64)
+        self._before = np.frombuffer(side[5], "<u8").reshape(self.bits, blocks).astype(np.int64)
         at = len(MAGIC) + 4 + size + sum(head["side"])
-        self._where = []
-        for x in head["planes"]:
-            self._where.append((at, x))
-            at += x
-        self._planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._where = (at + np.cumsum([0, *head["planes"]])).tolist()
+        self._held: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
 
     def _raw(self, level: int) -> np.ndarray:
-        at, size = self._where[level]
-        self.file.seek(at)
-        return np.frombuffer(self._open(self.file.read(size)), np.uint8)
-
-    def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of a plane and the ones before each block."""
-        if level not in self._planes:
-            raw = self._raw(level)
-            padded = np.zeros(-(-len(raw) * 8 // BLOCK) * BLOCK // 8, np.uint8)
-            padded[: len(raw)] = raw
-            ones = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
-            self._planes[level] = padded, np.concatenate([[0], np.cumsum(ones)])
-        return self._planes[level]
+        """All bytes of a plane."""
+        self.file.seek(self._where[level])
+        data = memoryview(self.file.read(self._where[level + 1] - self._where[level]))
+        ends = [0, *self._ends[level].tolist()]
+        return np.frombuffer(b"".join(self._open(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)), np.uint8)
+
+    def _block(self, level: int, no: int) -> np.ndarray:
+        """The bytes of a block of a plane; the last few that were used are kept."""
+        key = level, no
+        if key in self._held:
+            self._held.move_to_end(key)
+            return self._held[key]
+        begin = int(self._ends[level, no - 1]) if no else 0
+        self.file.seek(self._where[level] + begin)
+        self._held[key] = np.frombuffer(self._open(self.file.read(int(self._ends[level, no]) - begin)), np.uint8)
+        if len(self._held) > KEPT:
+            self._held.popitem(last=False)
+        return self._held[key]
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self._plane(level)[0][i >> 3]) >> (i & 7) & 1
+        i, no = i % self._size, i // self._size
+        return int(self._block(level, no)[i >> 3]) >> (i & 7) & 1
 
     def _ones(self, level: int, i: int) -> int:
         """Ones before place i of a plane."""
-        raw, directory = self._plane(level)
-        block = i // BLOCK
-        if block * BLOCK == i:
-            return int(directory[block])
-        part = int.from_bytes(raw[block * BLOCK // 8 : -(-i // 8)].tobytes(), "little")
-        return int(directory[block]) + (part & ((1 << (i - block * BLOCK)) - 1)).bit_count()
+        if i >= self.n:
+            return self.n - self.zeros[level]
+        no, i = i // self._size, i % self._size
+        if i == 0:
+            return int(self._before[level, no])
+        raw = self._block(level, no)[: -(-i // 8)]
+        last = int(raw[-1]) & ((1 << (i - 8 * (len(raw) - 1))) - 1)
+        return int(self._before[level, no]) + int(np.bitwise_count(raw[:-1]).sum()) + last.bit_count()
 
     def _place(self, level: int, bit: int, k: int) -> int:
         """The place of the k-th (from 0) bit of a kind in a plane."""
-        raw, directory = self._plane(level)
-        before = directory if bit else np.arange(len(directory)) * BLOCK - directory
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        part = np.unpackbits(raw[block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(part == bit)[k - int(before[block])])
+        before = self._before[level] if bit else np.arange(self._before.shape[1]) * self._size - self._before[level]
+        no = int(np.searchsorted(before, k, side="right")) - 1
+        part = np.unpackbits(self._block(level, no), count=min(self._size, self.n - no * self._size), bitorder="little")
+        return no * self._size + int(np.flatnonzero(part == bit)[k - int(before[no])])
 
     def _code(self, token: int) -> int | None:
         at = int(np.searchsorted(self.alphabet, token))
@@ -249,7 +262,9 @@ def write_shards(documents: DataFrame, scratch: Scratch, tokenizer_path: str, en
             yield flush()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the beginnings of the texts let ranges cut the rows of one id
+    ranges = rows.withColumn("begin", F.substring("text", 1, 64)).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("begin").asc_nulls_first()).drop("begin")
+    ordered = ranges.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return scratch.keep(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
@@ -277,5 +292,4 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = manifest.repartition(F.col("path"))
-    return spread.mapInArrow(read, RECORDS)
+    return spread(manifest, "tokens", 4 << 20).mapInArrow(read, RECORDS)

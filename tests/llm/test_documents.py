@@ -126,7 +126,9 @@ def test_best_fit_takes_the_smallest_space_and_closes_the_fullest():
 # ---- token output
 
 
-def test_wavelet_file_answers_like_the_sequence(tmp_path):
+@pytest.mark.parametrize("block", [64, 1 << 16])
+def test_wavelet_file_answers_like_the_sequence(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(wavelet, "BLOCK", block)
     rng = np.random.default_rng(3)
     for ids in (np.zeros(0, np.uint32), np.full(700, 9, np.uint32), rng.integers(0, 50_000, 3000).astype(np.uint32), (rng.zipf(1.3, 5000) % 70_000).astype(np.uint32)):
         path = tmp_path / "m"
@@ -148,6 +150,29 @@ def test_wavelet_file_answers_like_the_sequence(tmp_path):
                 m.access(len(ids))
 
 
+def test_access_reads_a_block_of_each_plane(tmp_path):
+    ids = np.random.default_rng(5).integers(0, 50_000, 1 << 20).astype(np.uint32)
+    with open(tmp_path / "m", "wb") as out:
+        wavelet.write_matrix(out, ids, [1], np.array([len(ids)]))
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.bytes = file, 0
+
+        def read(self, n):
+            self.bytes += n
+            return self.file.read(n)
+
+        def seek(self, at):
+            self.file.seek(at)
+
+    with open(tmp_path / "m", "rb") as file:
+        counted = Counted(file)
+        m = wavelet.WaveletMatrix(counted)
+        counted.bytes = 0
+        assert m.access(700_001) == ids[700_001] and counted.bytes < (tmp_path / "m").stat().st_size / 10
+
+
 def test_token_output_of_odd_rows(spark):
     docs = odd_documents(spark)
     scratch = Scratch(spark, "t")
@@ -160,6 +185,8 @@ def test_token_output_of_odd_rows(spark):
         wanted.append((r.doc_id, at, len(ids), crc(ids)))
         at += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == wanted
+    files = wavelet.write_shards(docs, scratch, PATH, shard_tokens=500)
+    assert files.count() >= 3 and wavelet.read_shards(files).rdd.getNumPartitions() == files.count()  # a file to a task
     assert wavelet.read_shards(wavelet.write_shards(empty(spark), scratch, PATH)).collect() == []
 
 

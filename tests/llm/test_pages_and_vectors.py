@@ -133,10 +133,36 @@ def test_archives_round_trip(spark):
         origin = first.get(html or "")
         wanted.append((page, len(body), warc.base32_sha1(body), "response" if page == origin else "revisit", None if page == origin else origin))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(wanted, key=str)
+    # what a revisit names is the id of a record in the archives, and no other
+    whole = warc.read_archives(archives, scratch).collect()
+    ids = [r.record_id for r in whole]
+    assert len(set(ids)) == len(ids) and {r.refers_to for r in whole if r.kind == "revisit"} <= {r.record_id for r in whole if r.kind == "response"}
     none = warc.write_archives(pages.where("false"), scratch)
     assert warc.read_archives(none, scratch).collect() == []
 
 
+def test_archives_are_read_by_many_tasks(spark):
+    from codexflow.llm.storage import spread
+
+    pages = spark.createDataFrame([(n, "u", f"page {n} " * 40) for n in range(40)], "page_id long, url string, html string").coalesce(1)
+    archives = warc.write_archives(pages, Scratch(spark, "t"), archive_bytes=200)
+    assert archives.count() == 40 and spread(archives, "bytes", 128 << 20).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert spread(archives, "bytes", 100).rdd.getNumPartitions() == 40
+
+
+def test_revisits_without_their_response_are_reported(spark, tmp_path):
+    def record(kind, name, body, **more):
+        block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(body) + (body if kind == "response" else b"")
+        return warc.record_bytes([("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Payload-Digest", "sha1:" + warc.base32_sha1(body)), *more.items()], block)
+
+    named = lambda name: {"WARC-Refers-To": name}
+    data = record("response", "<a>", b"x") + record("revisit", "<b>", b"x", **named("<a>")) + record("revisit", "<c>", b"y", **named("<a>")) + record("revisit", "<d>", b"x", **named("<e>"))
+    (tmp_path / "f.warc").write_bytes(data)
+    files = spark.createDataFrame([("file://" + str(tmp_path / "f.warc"), 1)], "path string, bytes long")
+    got = {r.record_id: (r.payload_bytes, r.problem) for r in warc.read_archives(files, Scratch(spark, "t")).collect()}
+    assert got["<a>"] == got["<b>"] == (1, None) and got["<c>"] == (None, "the response's payload differs") and got["<d>"] == (None, "no response of that id")
+
+
 def test_small_payloads_are_not_revisited(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     scratch = Scratch(spark, "t")
