@@ -7,14 +7,18 @@ language of the closest centroid by cosine is predicted.  A text is rejected if
 its cosine is below what all but ``lowest`` of the training texts' passages of its
 length reach, so a few odd texts among them do not set the threshold.
 
-Fitted on a bounded sample: ``per_language`` documents of each language, those
-with the smallest hash of their id, whole.  Everything else reads every row.
+Fitted on a bounded sample: at most ``per_language`` different texts of each
+language, those of the smallest hash, whole.  Everything else reads every row.
 
 Rows
     A null text, or one without a letter, is ``und`` with score 0 and rejected.
-    Null or repeated ids, further columns and an empty table need no care; rows
-    without a label or id are not learned from.  Without any label all is ``und``.
-    Long texts are read in slices, to their end.  Ties go to the first language.
+    Rows without a label or id are not learned from, and equal texts of a language
+    count once, under whatever ids.  Null or repeated ids have predictions of their
+    own.  Without any label all is ``und``.  An empty table gives no rows.  Long texts
+    are read in slices, to their end.  Ties go to the first language.  Columns of any
+    name are passed over; a carried one of the name ``lang_pred``, ``score`` or
+    ``rejected`` is refused, and ``verdicts`` gives these as fields of one column of a
+    name of the caller's instead.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .storage import Scratch
+from .storage import Scratch, unused
 
 BITS = 13
 SIZE = 1 << BITS
@@ -116,20 +121,23 @@ def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per
     spark = documents.sparkSession
     train = ~held_out(F.col("doc_id")) if train is None else train
     labelled = documents.where(train & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    # A first cut by the hash leaves little more than the sample, so no task sorts a language's rows.
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    hashes = scratch.keep(labelled.select("lang", "h"), "hashes")
+    languages = hashes.select("lang").distinct().limit(max_model_bytes // (clusters * SIZE * 4) + 1).count()
+    if languages * clusters * SIZE * 4 > max_model_bytes:
+        raise ValueError(f"a model of {languages} languages or more is over {max_model_bytes} bytes")
+    # Different texts are ranked by their hash, of which only the smallest of each task travel on.
+    # Before that a cut by the hash leaves little more than the sample, so that no task sorts a language's rows.
     few = per_language + 8 * int(np.sqrt(per_language)) + 16
-    cuts = [(r["lang"], int(-(2**63) + min(1.0, few / r["n"]) * (2**64 - 2**11))) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()]
-    if len(cuts) * clusters * SIZE * 4 > max_model_bytes:
-        raise ValueError(f"a model of {len(cuts)} languages is over {max_model_bytes} bytes")
-    cut_table = F.broadcast(spark.createDataFrame(cuts, "cut_lang string, cut_h long"))  # a row a language
-    likely = labelled.select("lang", "h").join(cut_table, (F.col("lang") == F.col("cut_lang")) & (F.col("h") <= F.col("cut_h")))
-    ranked = likely.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h")))
-    ends = [(r["lang"], r["h"]) for r in ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()]
-    if not ends:
+    counted = hashes.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    cuts = counted.select(F.col("lang").alias("cut_lang"), F.when(F.col("n") <= 2 * few, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(1.1 * few) / F.col("n") * 2.0**64).cast("long")).alias("cut_h"))
+    likely = hashes.join(F.broadcast(cuts), (F.col("lang") == F.col("cut_lang")) & (F.col("h") <= F.col("cut_h"))).distinct()
+    ranked = likely.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
+    chosen = scratch.keep(ranked.select(F.col("lang").alias("in_lang"), F.col("h").alias("in_h")), "chosen")  # at most languages * per_language rows
+    if chosen.isEmpty():
         return Model([], np.zeros((0, SIZE), np.float32), np.ones(SIZE, np.float32), np.zeros(40))
-    ends_table = F.broadcast(spark.createDataFrame(ends, "end_lang string, end_h long"))  # a row a language
-    sample = labelled.join(ends_table, (F.col("lang") == F.col("end_lang")) & (F.col("h") <= F.col("end_h"))).select("lang", "text")
+    rows = labelled.join(F.broadcast(chosen), (F.col("lang") == F.col("in_lang")) & (F.col("h") == F.col("in_h")))
+    sample = rows.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def features(batches):
         for batch in batches:
@@ -147,6 +155,7 @@ def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per
                 part = list(zip(*rows[at : at + 1000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.array(part[2], pa.list_(pa.int32())), pa.array(part[3], pa.list_(pa.int32()))], ["lang", "is_whole", "at", "n"])
 
+    scratch.drop(hashes)
     table = scratch.keep(sample.mapInArrow(features, "lang string, is_whole boolean, at array<int>, n array<int>"), "features")
     whole = table.where("is_whole")
     idf = np.ones(SIZE, np.float32)
@@ -191,9 +200,8 @@ def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per
     return model
 
 
-def identify(documents: DataFrame, model: Model, carry: list[Column] | None = None) -> DataFrame:
-    """The ``carry`` columns with lang_pred, score and rejected for every row."""
-    carry = carry or [F.col("doc_id")]
+def verdicts(documents: DataFrame, model: Model, carry: list[Column], name: str) -> DataFrame:
+    """The ``carry`` columns, and a column ``name`` with fields lang_pred, score and rejected, for every row."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
@@ -203,9 +211,22 @@ def identify(documents: DataFrame, model: Model, carry: list[Column] | None = No
             for at in range(0, len(texts), 64):
                 found += sent.value.predict([gram_counts(t.as_py()) for t in texts[at : at + 64]])
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
-            columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+            said = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], said], [*batch.schema.names[:-1], name])
+
+    rows = documents.select(*carry, F.col("text").cast("string").alias(name))
+    kept = T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.StructType.fromDDL("lang_pred string, score double, rejected boolean"))])
+    if len({n.lower() for n in kept.names}) < len(kept.names):
+        raise ValueError(f"a carried column has the name {name}, or two have the same")
+    return rows.mapInArrow(predict, kept)
 
-    rows = documents.select(*carry, F.col("text").cast("string").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(predict, f"{kept}, lang_pred string, score double, rejected boolean")
+
+def identify(documents: DataFrame, model: Model, carry: list[Column] | None = None) -> DataFrame:
+    """The ``carry`` columns with lang_pred, score and rejected for every row."""
+    carry = [F.col("doc_id")] if carry is None else carry
+    taken = {n.lower() for n in documents.select(*carry).columns} & {"lang_pred", "score", "rejected"}
+    if taken:
+        raise ValueError(f"carried columns are called {sorted(taken)}")
+    name = unused("said", documents.select(*carry).columns)
+    found = verdicts(documents, model, carry, name)
+    return found.select(*[F.col(f"`{c}`") for c in found.columns[:-1]], *[F.col(f"`{name}`.{c}").alias(c) for c in ("lang_pred", "score", "rejected")])

@@ -58,6 +58,14 @@ class Scratch:
             hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that a table does not have, whatever it has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def spread(files: DataFrame, size: str, most: int) -> DataFrame:
     """A table of files, dealt to as many tasks as their sizes ask for: a file to a task while
     there are few, and about ``most`` (in the unit of the column ``size``) when there are many."""

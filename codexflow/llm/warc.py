@@ -120,7 +120,7 @@ def read_archive(file) -> Iterator[tuple[dict[str, str], bytes]]:
     start = file.read(2)
     file.seek(0)
     if start != b"\x1f\x8b":
-        yield from parse_records(io.BufferedReader(file) if not hasattr(file, "readline") else file)
+        yield from parse_records(io.BufferedReader(file))
         return
     data = b""
     while data or (data := file.read(1 << 20)):

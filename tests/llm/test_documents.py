@@ -247,6 +247,90 @@ def test_mix_meets_its_targets(spark):
     assert counted == Counter({r.doc_id: r.taken for r in got if r.taken})
 
 
+def plain_seats(weights, seats, caps):
+    """One seat after the other to the highest quotient, ties to the first."""
+    got = [0] * len(weights)
+    for _ in range(min(seats, sum(c for w, c in zip(weights, caps, strict=True) if w > 0))):
+        n = max((n for n in range(len(weights)) if got[n] < caps[n] and weights[n] > 0), key=lambda n: (weights[n] / (2 * got[n] + 1), -n))
+        got[n] += 1
+    return got
+
+
+def plain_deal(words, quota, block):
+    got = [n * block for n in plain_seats(words, quota // block, [2 * w // block for w in words])]
+    for n, w in enumerate(words):
+        more = min(2 * w - got[n], quota - sum(got))
+        got[n] += more
+    return got
+
+
+@pytest.mark.parametrize("group", [4096, 3])
+def test_words_taken_equal_brute_force(spark, group):
+    rng = random.Random(8)
+    sources = ["a"] * 20 + ["b", "b", "c", None, "d"]
+    rows = [(n, sentence(rng, rng.randint(0, 60)), "en", rng.choice(sources), 1) for n in range(400)] + [(7, "same words here", "en", "b", 1)] * 3 + [(900, "tiny", "en", "e", 1), (901, None, "en", "f", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    options = {"shard_docs": 30, "group": group}
+    got = Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.taken(docs, Scratch(spark, "t"), **options).collect())
+    placed, _ = mixing.plan(docs, Scratch(spark, "t"), **options)
+    placed = placed.withColumn("begin_hash", F.xxhash64(F.lit(17), "source_no", "shard")).collect()
+    sizes = Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += len(words(text))
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    goal, left, open_ = dict.fromkeys(order, 0.0), 1.5 * sum(sizes.values()), [s for s in order if sizes[s]]
+    weight = {s: (3, 1, 2)[n % 3] for n, s in enumerate(order)}
+    while open_:  # no target over twice the size
+        unit = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if weight[s] * unit > 2 * sizes[s]]
+        for s in over or open_:
+            goal[s] = 2.0 * sizes[s] if over else weight[s] * unit
+            left -= goal[s]
+        open_ = [s for s in open_ if s not in over] if over else []
+    small = [s for s in order if goal[s] < 128]
+    large = [s for s in order if goal[s] >= 128]
+    quota = dict(zip(small, plain_seats([goal[s] for s in small], round(sum(goal[s] for s in small)), [2 * sizes[s] for s in small]), strict=True))
+    blocks = int(sum(goal.values()) - sum(quota.values())) // 16
+    quota |= {s: 16 * n for s, n in zip(large, plain_seats([goal[s] for s in large], blocks, [2 * sizes[s] // 16 for s in large]), strict=True)}
+    wanted = Counter()
+    for s in order:
+        shards = defaultdict(list)
+        for r in placed:
+            if r.source == s:
+                shards[r.shard].append(r)
+        held = {k: sum(r.size for r in v) for k, v in sorted(shards.items())}
+        parts = defaultdict(list)
+        for k, n in held.items():
+            if n:
+                parts[k // group].append(k)
+        given = {}
+        for (_, ks), part in zip(sorted(parts.items()), plain_deal([sum(held[k] for k in ks) for _, ks in sorted(parts.items())], quota[s], 16), strict=True):
+            given |= dict(zip(ks, plain_deal([held[k] for k in ks], part, 16), strict=True))
+        for k, docs_of in shards.items():
+            line = [n for n, r in enumerate(sorted(docs_of, key=lambda r: (r.order_hash, r.doc_id, r.size))) for _ in range(r.size)]
+            count = Counter()
+            if line:
+                at = docs_of[0].begin_hash % max(1, len(line) // 16) * 16
+                for i in range(given[k]):
+                    count[line[(at + i) % len(line)]] += 1  # whole rounds count every word once
+            for n, r in enumerate(sorted(docs_of, key=lambda r: (r.order_hash, r.doc_id, r.size))):
+                wanted[(r.doc_id, r.size, sizes[s], round(goal[s], 6), count[n])] += 1
+    assert got == wanted
+
+
+def test_too_many_sources_are_an_error(spark):
+    docs = spark.createDataFrame([(n, "a b c", "en", f"s{n}", 1) for n in range(6)], DOCUMENTS)
+    with pytest.raises(ValueError):
+        mixing.taken(docs, Scratch(spark, "t"), max_sources=5)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = odd_documents(spark).select("*", *[F.lit(c).alias(c) for c in ("_id", "_whole", "_copy", "_order_hash", "row", "copy", "whole", "parts", "no", "hash", "id", "of")])
+    mixed = mixing.mixed_documents(docs, Scratch(spark, "t"))
+    assert mixed.columns == docs.columns
+    assert all(r[c] == c for r in mixed.collect() for c in ("_id", "_whole", "_copy", "_order_hash", "row", "copy", "whole", "parts", "no", "hash", "id", "of"))
+
+
 def test_mix_of_odd_rows(spark):
     docs = odd_documents(spark)
     got = mixing.taken(docs, Scratch(spark, "t")).collect()
@@ -319,6 +403,61 @@ def test_languages_of_odd_rows(spark):
     assert language.identify(nothing, language.fit(nothing, Scratch(spark, "t"))).collect() == []
 
 
+def plain_prediction(model, text):
+    """Bigrams and trigrams one by one, a vector of logarithms, and every centroid's cosine."""
+    import math
+
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    seq, before = [32, 32], False
+    for c in text.lower():
+        if c.isalpha():
+            seq.append(ord(c))
+        elif before:
+            seq.append(32)
+        before = c.isalpha()
+    count, mask = Counter(), (1 << 32) - 1
+    for n in range(2, len(seq)):
+        two = (seq[n - 1] * 2654435761 + seq[n] * 2246822519) & mask
+        for gram in (two, (seq[n - 2] * 3266489917 + two * 668265263) & mask):
+            count[((gram ^ gram >> 15) * 2246822519 & mask) >> 32 - language.BITS] += 1
+    vector = {k: math.log1p(n) * float(model.idf[k]) for k, n in count.items()}
+    length = math.sqrt(sum(v * v for v in vector.values()))
+    cosine = [sum(v * float(c[k]) for k, v in vector.items()) / length for c in model.centroids]
+    return model.languages[max(range(len(cosine)), key=lambda n: (cosine[n], -n))], max(0.0, max(cosine))
+
+
+def test_predictions_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs, Scratch(spark, "t"))
+    odd = odd_documents(spark).select("doc_id", "text")
+    for r in language.identify(docs.select("doc_id", "text").unionByName(odd), model, [F.col("doc_id"), F.col("text")]).collect():
+        lang, score = plain_prediction(model, r.text)
+        assert lang == r.lang_pred and abs(score - r.score) < 1e-5
+
+
+def test_repeated_rows_do_not_swell_the_sample(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(1, "the same labelled row", "en")] * 3000 + [(n, sentence(rng, 9), "en") for n in range(2, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, keep=Scratch.keep: seen.append((name, keep(self, df, name))) or seen[-1][1])
+    language.fit(docs, Scratch(spark, "t"), train=F.lit(True), per_language=20)
+    assert dict(seen)["features"].where("is_whole").count() == 20
+    with pytest.raises(ValueError):
+        language.fit(docs, Scratch(spark, "t"), train=F.lit(True), max_model_bytes=1000)
+
+
+def test_names_of_carried_columns(spark):
+    docs = odd_documents(spark).select("*", F.lit(1).alias("score"), F.lit(2).alias("rejected"), F.lit(3).alias("lang_pred"))
+    model = language.fit(docs, Scratch(spark, "t"))
+    carry = [F.col(c) for c in docs.columns]
+    with pytest.raises(ValueError):
+        language.identify(docs, model, carry)
+    out = language.verdicts(docs, model, carry, "said").collect()
+    assert all((r.score, r.rejected, r.lang_pred) == (1, 2, 3) and 0 <= r.said.score <= 1 for r in out) and len(out) == docs.count()
+
+
 # ---- near-duplicates
 
 
