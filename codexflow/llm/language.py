@@ -5,7 +5,8 @@ other characters as one space), with log counts times inverse document frequency
 normalised.  Each language is a few centroids found by spherical k-means, and the
 language of the closest centroid by cosine is predicted.  A text is rejected if
 its cosine is below what all but ``lowest`` of the training texts' passages of its
-length reach, so a few odd texts among them do not set the threshold.
+length reach, so a few odd texts among them do not set the threshold; of lengths with
+too few passages for that the smallest cosine counts, times ``margin``.
 
 Fitted on a bounded sample: at most ``per_language`` different texts of each
 language, those of the smallest hash, whole.  Everything else reads every row.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .storage import Scratch, unused
+from .storage import Scratch, quoted, unused
 
 BITS = 13
 SIZE = 1 << BITS
@@ -116,7 +117,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per_language: int = 300, clusters: int = 4, lowest: float = 0.005, max_model_bytes: int = 64 << 20) -> Model:
+def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per_language: int = 300, clusters: int = 4, lowest: float = 0.005, margin: float = 0.8, max_model_bytes: int = 64 << 20) -> Model:
     """Learn from text and lang of the rows where ``train`` holds (by default those not held out)."""
     spark = documents.sparkSession
     train = ~held_out(F.col("doc_id")) if train is None else train
@@ -190,7 +191,9 @@ def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per
                 yield pa.RecordBatch.from_arrays([pa.array(np.log2(counts.sum(axis=1)).astype(np.int32)), pa.array(best)], ["size", "cosine"])
 
     spread = table.select("at", "n").repartition(spark.sparkContext.defaultParallelism)
-    low = {r["size"]: r["low"] for r in spread.mapInArrow(cosines, "size int, cosine double").groupBy("size").agg(F.percentile("cosine", F.lit(lowest)).alias("low")).collect()}
+    found = spread.mapInArrow(cosines, "size int, cosine double").groupBy("size").agg(F.percentile("cosine", F.lit(lowest)).alias("low"), F.count("*").alias("n")).collect()
+    # too few passages of a length do not tell what so few of them fall below: these get a margin
+    low = {r["size"]: r["low"] * (1.0 if r["n"] * lowest >= 1 else margin) for r in found}
     least, above = np.zeros(40), np.inf
     for size in range(39, -1, -1):  # what a length asks for is never more than what a longer one does
         above = min(above, low.get(size, np.inf))
@@ -229,4 +232,4 @@ def identify(documents: DataFrame, model: Model, carry: list[Column] | None = No
         raise ValueError(f"carried columns are called {sorted(taken)}")
     name = unused("said", documents.select(*carry).columns)
     found = verdicts(documents, model, carry, name)
-    return found.select(*[F.col(f"`{c}`") for c in found.columns[:-1]], *[F.col(f"`{name}`.{c}").alias(c) for c in ("lang_pred", "score", "rejected")])
+    return found.select(*[F.col(quoted(c)) for c in found.columns[:-1]], *[F.col(name)[c].alias(c) for c in ("lang_pred", "score", "rejected")])

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .storage import Scratch
+from .storage import Scratch, quoted
 
 # Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -191,7 +191,7 @@ def mixed_documents(documents: DataFrame, scratch: Scratch, **options) -> DataFr
     picked = scratch.keep(runs(placed, quotas, seed, block).where("whole > 0 or size(parts) > 0").select("doc_id", "source", "order_hash", "whole", "parts"), "picked")
     columns = documents.columns
     # the rows travel as one column, so that their names cannot meet those of this function
-    row = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    row = documents.select(F.struct(*[F.col(quoted(c)) for c in columns]).alias("row"), F.col("text").cast("string").alias("text"))
     plain = [F.col("row")[f.name] for f in documents.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     keyed = row.select("row", "text", F.col("row")["doc_id"].cast("long").alias("id"), F.col("row")["source"].cast("string").alias("of"), F.xxhash64(*plain).alias("whole_hash"))
     keyed = keyed.withColumn("hash", F.xxhash64(F.lit(seed), "id", F.xxhash64(F.col("row")["text"])))

@@ -66,6 +66,11 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` reads it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def spread(files: DataFrame, size: str, most: int) -> DataFrame:
     """A table of files, dealt to as many tasks as their sizes ask for: a file to a task while
     there are few, and about ``most`` (in the unit of the column ``size``) when there are many."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch, open_in, open_out, spread
+from .storage import Scratch, open_in, open_out, quoted, spread
 
 ARCHIVES = "path string, records long, bytes long"
 PARTS = "record_id string, origin_id string, segment int, total long, kind string, target string, refers_to string, digest string, block binary"
@@ -142,9 +142,9 @@ def write_archives(pages: DataFrame, scratch: Scratch, page_id: str = "page_id",
     the row's place in the table, which is read twice and has to come in the same
     partitions and order both times, as the scan of stored files does."""
     rows = pages.select(
-        F.col(f"`{page_id}`").cast("long").alias("page_id"),
-        F.col(f"`{url}`").cast("string").alias("url"),
-        F.encode(F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")), "UTF-8").alias("payload"),
+        F.col(quoted(page_id)).cast("long").alias("page_id"),
+        F.col(quoted(url)).cast("string").alias("url"),
+        F.encode(F.coalesce(F.col(quoted(payload)).cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("row", F.monotonically_increasing_id())
     held = rows.select("page_id", "digest", "row", F.length("payload").alias("n"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
