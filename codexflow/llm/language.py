@@ -209,19 +209,20 @@ def verdicts(documents: DataFrame, model: Model, carry: list[Column], name: str)
 
     def predict(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            found = []
+            texts, found = batch.column(1), []
             for at in range(0, len(texts), 64):
                 found += sent.value.predict([gram_counts(t.as_py()) for t in texts[at : at + 64]])
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
             said = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], said], [*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), said], ["row", "said"])
 
-    rows = documents.select(*carry, F.col("text").cast("string").alias(name))
-    kept = T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.StructType.fromDDL("lang_pred string, score double, rejected boolean"))])
-    if len({n.lower() for n in kept.names}) < len(kept.names):
+    # carried columns travel as one, whatever their names
+    rows = documents.select(F.struct(*carry).alias("row"), F.col("text").cast("string").alias("text"))
+    names = rows.schema["row"].dataType.names
+    if len({n.lower() for n in [*names, name]}) <= len(names):
         raise ValueError(f"a carried column has the name {name}, or two have the same")
-    return rows.mapInArrow(predict, kept)
+    out = rows.mapInArrow(predict, T.StructType([rows.schema["row"], T.StructField("said", T.StructType.fromDDL("lang_pred string, score double, rejected boolean"))]))
+    return out.select(*[F.col("row")[n].alias(n) for n in names], F.col("said").alias(name))
 
 
 def identify(documents: DataFrame, model: Model, carry: list[Column] | None = None) -> DataFrame:

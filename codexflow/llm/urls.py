@@ -8,8 +8,10 @@ checked against ``max_trie_bytes``.
 
 Rows
     A null url, or one without ``://``, has an empty host and path, which no rule
-    fits, and gets the default verdict.  Empty tables, repeated rows, very long
-    urls and further columns need no care: rows are judged one by one.
+    fits, and gets the default verdict.  Rows are judged one by one, so repeated rows
+    have the same answer each, very long urls are read whole, and an empty table gives
+    no rows.  Ties: two rules of one host and path count as one, which blocks.  Columns
+    called host, path, rule or verdict are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import quoted
+
 ALLOW, BLOCK = "allow", "block"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -96,7 +100,7 @@ class Trie:
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], url: str = "url", default: str = ALLOW, max_trie_bytes: int = 64 << 20) -> DataFrame:
-    """Add host, path, rule and verdict to every row; columns of these names are replaced."""
+    """Add host, path, rule and verdict to every row; columns of these names are replaced, others are kept, whatever they are called."""
     trie = Trie(rules)
     size = len(pickle.dumps(trie.root))
     if size > max_trie_bytes:
@@ -108,7 +112,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], url: str = "url",
         found = [sent.value.find(h, p) for h, p in zip(host, path, strict=True)]
         return pd.DataFrame({"rule": [f[1] if f else None for f in found], "verdict": [f[0] if f else default for f in found]})
 
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    text = F.col(f"`{url}`").cast("string")
-    parts = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(text).alias("host"), path_of(text).alias("path"))
-    return parts.withColumn("_found", match("host", "path")).select(*[F.col(f"`{c}`") for c in kept], "host", "path", "_found.rule", "_found.verdict")
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    text = F.col(quoted(url)).cast("string")
+    parts = pages.select(F.struct(*[F.col(quoted(c)) for c in kept]).alias("row"), host_of(text).alias("host"), path_of(text).alias("path"))
+    return parts.withColumn("found", match("host", "path")).select(*[F.col("row")[c].alias(c) for c in kept], "host", "path", "found.rule", "found.verdict")
