@@ -88,3 +88,24 @@ def test_stages_stand_odd_rows(spark):
                 assert out.columns == docs.columns
                 docs = out.withColumn("lang", F.coalesce("lang", F.lit("en")))
             out.collect()
+
+
+CLASHES = ("score", "rejected", "lang_pred", "said", "gone", "again", "row", "id", "_id", "_whole", "_copy", "_order_hash", "class_id", "kept", "rep", "digest", "piece", "length", "offset", "task", "closed", "a.b")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = odd_documents(spark).withColumns({c: F.lit(c) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        rows = out.collect()
+        if name != "best-fit packing":
+            assert out.columns == docs.columns and rows
+            assert all(r[docs.columns.index(c)] == c for r in rows for c in CLASHES)
+            docs = out.withColumn("lang", F.coalesce("lang", F.lit("en")))
+
+
+def test_rows_of_one_id_leave_the_same_row(spark):
+    rows = [(1, f"some text number {n} that differs", "en", "a", n) for n in range(6)] + [(2, "another", "en", "a", 1)]
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
+    found = {tuple(sorted(map(tuple, stage(spark, spark.createDataFrame(rows[k:] + rows[:k], DOCUMENTS).repartition(3 + k), "").collect()))) for k in (0, 2, 5)}
+    assert len(found) == 1 and [r[0] for r in found.pop()] == [1, 2]
