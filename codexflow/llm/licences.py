@@ -1,12 +1,17 @@
 """License scans: a trained paragraph classifier, native on the executors.
 
 The model is a multinomial logistic regression on binary word n-grams (one to three
-words).  It is trained on the driver from the notices below, in seeded variants, and
-on paragraphs that are no notice: fixed ones and a bounded sample of the corpus.  A
-class ``unknown`` stands for the latter, and probabilities are calibrated by a
-temperature chosen on variants that were set apart.  Weights are kept for n-grams
-with a word that tells notices from other text; a paragraph without such a word has
-no weight but the bias, which says unknown, so only the others are scored.
+words), all those of the notices below and of the fixed paragraphs that are no notice.
+It is trained on the driver from the notices, in seeded variants, and from paragraphs
+that are no notice: the fixed ones and a bounded sample of the corpus.  A class
+``unknown`` stands for the latter.  Calibration is the last step: models are trained
+without one wording of every family, or a part of the other paragraphs, and the
+temperature and the offset of ``unknown`` that give these the greatest likelihood
+become part of the weights.
+
+A paragraph without a cue word is not scored, which changes nothing: cues are words
+of the vocabulary chosen so that the n-grams without one, all together, cannot lift the
+probability of any family to what a prediction needs (``cues_of``).
 
 Scoring is relational: distinct paragraphs are found first (a notice that occurs a
 million times is scored once), their n-grams meet the weights in a join, and sums
@@ -105,9 +110,10 @@ OTHERS = (
     "Mozilla and GNU are names of software projects.",
     "The public work is under general version control.",
     "This file is subject to change without notice.",
+    "You can come or not, for all I know, and it may be that any of them has not seen it.",
+    "As for this, they may use it for what they can, or not, but it has to be of use to you.",
+    "Not that all of you can or may do so: it is for the one who has it, and with any of it.",
 )
-# General words of notices, which with those of OTHERS are no cue.
-GENERAL = ("as", "can", "has", "it", "may", "that", "v", "with", "3")
 TOKEN = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
 
 
@@ -123,8 +129,9 @@ def _grams(tokens: list[str]) -> set[str]:
 class Model:
     families: list[str]  # with UNKNOWN last
     cues: list[str]
-    weights: dict[str, list[float]]  # by n-gram, one for each family; already divided by the temperature
+    weights: dict[str, list[float]]  # by n-gram, one for each family; calibrated, as the biases are
     bias: list[float]
+    least: float  # the probability that a prediction needs, on which the cues depend
 
 
 def _variants(text: str, rng: np.random.Generator, filler: list[str], count: int) -> list[str]:
@@ -139,65 +146,107 @@ def _variants(text: str, rng: np.random.Generator, filler: list[str], count: int
     return out
 
 
-def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int = 500, rate: float = 2.0, penalty: float = 1e-3, fair: float = 0.05) -> Model:
+def _soft(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
+def _descend(x: np.ndarray, y: np.ndarray, rounds: int, rate: float, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by gradient descent with Nesterov's momentum; every class counts the same."""
+    importance = (y / np.maximum(y.sum(axis=0), 1)).sum(axis=1, keepdims=True)
+    importance /= importance.sum()
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    vw, vb = np.zeros_like(w), np.zeros_like(b)
+    for _ in range(rounds):
+        error = (_soft(x @ (w + 0.9 * vw) + b + 0.9 * vb) - y) * importance
+        vw = 0.9 * vw - rate * (x.T @ error + penalty * w / x.shape[1])
+        vb = 0.9 * vb - rate * error.sum(axis=0)
+        w += vw
+        b += vb
+    return w.astype(float), b.astype(float)
+
+
+def cues_of(vocabulary: list[str], w: np.ndarray, b: np.ndarray, least: float, often: dict[str, int]) -> list[str]:
+    """Words such that no text without any of them is taken for a family with a probability of ``least``.
+
+    For a text without a cue, a family k is ahead of a class j by no more than the biases and all
+    weights by which an n-gram without a cue speaks for k rather than j, so its probability is
+    at most 1 / (1 + sum over j of exp(-that)).  Cues are added, those first that take away much and
+    are rare in texts (``often``), until no family's bound reaches ``least``."""
+    ahead = np.maximum(w[:, :-1, None] - w[:, None, :], 0.0)  # n-gram, family k, class j
+    own = np.arange(len(b) - 1)
+    holders: dict[str, list[int]] = {}
+    for n, gram in enumerate(vocabulary):
+        for word in set(gram.split()):
+            holders.setdefault(word, []).append(n)
+    open_, cues = np.ones(len(vocabulary), bool), []
+    while True:
+        others = np.exp(b[None, :] - b[:-1, None] - ahead[open_].sum(axis=0))
+        others[own, own] = 0.0
+        over = 1 / (1 + others.sum(axis=1)) >= least
+        if not over.any():
+            return sorted(cues)
+        if not holders:
+            raise ValueError("an empty text is taken for a notice")
+        worth = {word: ahead[[n for n in at if open_[n]]][:, over].sum() / (1 + often.get(word, 0)) for word, at in holders.items()}
+        best = max(sorted(worth), key=worth.__getitem__)
+        cues.append(best)
+        open_[holders.pop(best)] = False
+
+
+def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int = 400, rate: float = 2.0, penalty: float = 1e-3, fair: float = 0.05, least: float = 0.5) -> Model:
     """Fit on the notices and on paragraphs of the corpus that count as no notice."""
     rng = np.random.default_rng(seed)
     families = [*sorted(NOTICES), UNKNOWN]
     filler = sorted({w for p in paragraphs for w in p.split() if len(w) < 30})[:2000] or ["word"]
-    texts, label = [], []
+    texts, label, wording = [], [], []
     for k, family in enumerate(families[:-1]):
-        for notice in NOTICES[family]:
+        for no, notice in enumerate(NOTICES[family]):
             got = _variants(notice, rng, filler, variants)
             texts += got
             label += [k] * len(got)
-    notice_words = {w for t in NOTICES.values() for n in t for w in _tokens(n)}
-    # Corpus paragraphs that hold one of these words, or a fair share of a notice's n-grams with a
-    # cue, might be notices themselves and are not used; cues do not depend on the corpus.
+            wording += [no % 3] * len(got)
+    # Corpus paragraphs that hold one of these words, or a fair share of a notice's n-grams of
+    # words that no fixed paragraph has, might be notices themselves and are not used.
     telling = {"license", "licensed", "copyright", "spdx-license-identifier"}
-    general = {w for p in (*OTHERS, *GENERAL) for w in _tokens(p)}
-    cues = sorted(w for w in notice_words if w in telling or w not in general)
-    cue_set = set(cues)
-    with_cue = [{g for g in _grams(_tokens(n)) if cue_set & set(g.split())} for t in NOTICES.values() for n in t]
+    general = {w for p in OTHERS for w in _tokens(p)} - telling
+    marked = [{g for g in _grams(_tokens(n)) if not set(g.split()) <= general} for t in NOTICES.values() for n in t]
 
     def like_notice(p: str) -> bool:
-        mine = _grams(_tokens(p)) if cue_set & set(_tokens(p)) else set()
-        return any(len(mine & t) >= fair * len(t) for t in with_cue)
+        mine = _grams(_tokens(p))
+        return any(len(mine & t) >= fair * len(t) for t in marked)
 
     plain = [p for p in paragraphs if not telling & set(_tokens(p)) and not like_notice(p)]
-    for p in [*OTHERS * 6, *plain]:
+    for n, p in enumerate([*OTHERS * 6, *plain, *[""] * 20]):
         texts.append(p)
         label.append(len(families) - 1)
-    vocabulary = sorted(set().union(*with_cue))
+        wording.append(n % len(OTHERS) % 3 if n < 6 * len(OTHERS) else n % 3)
+    vocabulary = sorted({g for t in [*NOTICES.values(), OTHERS] for n in t for g in _grams(_tokens(n))})
     at = {g: n for n, g in enumerate(vocabulary)}
     x = np.zeros((len(texts), len(vocabulary)), np.float32)
     for row, text in enumerate(texts):
-        for g in _grams(_tokens(text)):
-            if g in at:
-                x[row, at[g]] = 1
-    y = np.eye(len(families), dtype=np.float32)[label]
-    apart = np.arange(len(texts)) % 5 == 0
-    share = 1 / np.maximum(y[~apart].sum(axis=0), 1)
-    importance = (y[~apart] * share).sum(axis=1, keepdims=True)
-    importance /= importance.sum()
-    w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
-
-    def soft(z):
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
-
-    known, right = x[~apart], y[~apart]
-    w, b = w.astype(np.float32), b.astype(np.float32)
-    vw, vb = np.zeros_like(w), np.zeros_like(b)
-    for _ in range(rounds):  # gradient descent with Nesterov's momentum
-        error = (soft(known @ (w + 0.9 * vw) + b + 0.9 * vb) - right) * importance
-        vw = 0.9 * vw - rate * (known.T @ error + penalty * w / len(vocabulary))
-        vb = 0.9 * vb - rate * error.sum(axis=0)
-        w += vw
-        b += vb
-    z, truth = x[apart] @ w + b, y[apart].astype(bool)
-    heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=lambda t: -np.log(np.maximum(soft(z / t)[truth], 1e-12)).mean())
-    b[-1] = max(b[-1], b[:-1].max() + heat * np.log(len(families)))  # without a cue the answer is unknown
-    return Model(families, cues, {g: (w[n] / heat).tolist() for g, n in at.items()}, (b / heat).tolist())
+        x[row, [at[g] for g in _grams(_tokens(text)) if g in at]] = 1
+    y, fold = np.eye(len(families), dtype=np.float32)[label], np.array(wording)
+    w, b = _descend(x, y, rounds, rate, penalty)
+    # calibration, by wordings that the model they are put to has not seen
+    apart = np.zeros(y.shape)
+    for n in range(3):
+        w_n, b_n = _descend(x[fold != n], y[fold != n], rounds // 2, rate, penalty)
+        apart[fold == n] = x[fold == n] @ w_n + b_n
+    lowest, unknown = np.inf, np.eye(len(families))[-1]
+    for heat in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8):
+        for offset in np.arange(-2.0, 2.01, 0.5):
+            loss = -(y * np.log(np.maximum(_soft(apart / heat + offset * unknown), 1e-12))).sum(axis=1)
+            loss = (loss * (y / y.sum(axis=0)).sum(axis=1)).sum()
+            if loss < lowest and (b[-1] - b[:-1]).min() / heat + offset > 0:
+                lowest, chosen = loss, (heat, offset)
+    heat, offset = chosen
+    w, b = w / heat, b / heat + offset * unknown
+    often: dict[str, int] = {}
+    for p in paragraphs:
+        for word in set(_tokens(p)):
+            often[word] = often.get(word, 0) + 1
+    return Model(families, cues_of(vocabulary, w, b, least, often), {g: w[n].tolist() for g, n in at.items()}, b.tolist(), least)
 
 
 def sample_paragraphs(documents: DataFrame, most_documents: int = 200, most_paragraphs: int = 1000) -> list[str]:
@@ -219,7 +268,7 @@ def _local(spark, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
-def scan_paragraphs(paragraphs: DataFrame, model: Model, least: float = 0.5, share: float = 0.6) -> DataFrame:
+def scan_paragraphs(paragraphs: DataFrame, model: Model, share: float = 0.6) -> DataFrame:
     """family, probability, held (share of a template) and confirmed of each distinct value of ``paragraph``; only
     those with a cue come back, and those that are found unknown do not."""
     spark = paragraphs.sparkSession
@@ -240,7 +289,7 @@ def scan_paragraphs(paragraphs: DataFrame, model: Model, least: float = 0.5, sha
     scored = met.select("paragraph", z.alias("z")).withColumn("best", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("best")))
     scored = scored.select("paragraph", F.element_at(F.array(*map(F.lit, model.families)), F.array_position("z", F.col("best")).cast("int")).alias("family"), (1 / total).alias("probability"))
-    scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
+    scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.least))
     templates = []
     for family, notices in NOTICES.items():
         for no, notice in enumerate(notices):
@@ -287,7 +336,7 @@ def _units(documents: DataFrame, cue: str, reach: int) -> DataFrame:
     return each.select("doc_id", "block", "lo", (F.col("lo") + F.col("u.more")).alias("hi"), F.col("u.paragraph").alias("paragraph"))
 
 
-def scan(documents: DataFrame, model: Model, scratch: Scratch, **options) -> DataFrame:
+def scan(documents: DataFrame, model: Model, scratch: Scratch, salts: int = 16, **options) -> DataFrame:
     """doc_id, families (confirmed ones), unconfirmed (others that are predicted), the number
     of paragraphs that are confirmed notices, and the highest probability of these."""
     cue = "(?iu)(?<![\\p{L}\\p{N}])(?:" + "|".join(re.escape(c) for c in model.cues) + ")(?![\\p{L}\\p{N}])"
@@ -296,7 +345,10 @@ def scan(documents: DataFrame, model: Model, scratch: Scratch, **options) -> Dat
     units = scratch.keep(_units(ids, cue, reach), "units")
     judged = scan_paragraphs(units, model, **options)
     # of runs that overlap, the one that holds most of its template counts, then the shortest
-    found = units.join(judged, "paragraph").groupBy("doc_id", "block").agg(
+    # a notice that very many documents hold is dealt to several tasks; judged paragraphs, which are distinct, to each
+    salted = units.withColumn("salt", F.pmod(F.xxhash64("doc_id", "block"), F.lit(salts)))
+    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    found = salted.join(judged, ["paragraph", "salt"]).groupBy("doc_id", "block").agg(
         F.array_sort(F.collect_list(F.when(F.col("confirmed"), F.struct((-F.col("held")).alias("lacks"), (F.col("hi") - F.col("lo")).alias("more"), "lo", "hi", "family", "probability")))).alias("sure"),
         F.collect_list(F.when(~F.col("confirmed") & (F.col("lo") == F.col("hi")), F.struct("lo", "family"))).alias("unsure"),
     )

@@ -70,6 +70,78 @@ def test_wrapped_notices(spark, model):
     assert got == wanted
 
 
+def plain_score(model, text):
+    """Family, probability and best template of any paragraph, with or without a cue."""
+    grams = licences._grams(licences._tokens(text))
+    z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams if g in model.weights), np.zeros(len(model.bias)))
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    family = model.families[int(z.argmax())]
+    held = max((len(grams & t) / len(t) for t in (licences._grams(licences._tokens(n)) for n in licences.NOTICES.get(family, ()))), default=0.0)
+    return family, float(p.max()), held
+
+
+def test_texts_without_a_cue_are_never_predicted(spark, model):
+    words = sorted({w for g in model.weights for w in g.split()} - set(model.cues))
+    rng = random.Random(5)
+    assert set(words) and set(model.cues)
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 200)))
+        family, probability, _ = plain_score(model, text)
+        assert family == licences.UNKNOWN or probability < model.least
+    # every n-gram without a cue at once, which no text can hold
+    open_ = [np.array(w) for g, w in model.weights.items() if not set(g.split()) & set(model.cues)]
+    for k in range(len(model.families) - 1):
+        z = np.array(model.bias) + sum(np.maximum(w[k] - w, 0) * -1 for w in open_)
+        z[k] = model.bias[k]
+        assert 1 / np.exp(z - z[k]).sum() < model.least
+
+
+def test_scan_equals_a_plain_scorer_of_every_paragraph(spark, model):
+    import re
+    import textwrap
+
+    rng = random.Random(6)
+    corpus = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect() if r.text and len(r.text) < 3000]
+    notices = [n for t in licences.NOTICES.values() for n in t]
+    rows = []
+    for n in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            pick = rng.random()
+            text = rng.choice(notices) if pick < 0.5 else rng.choice(licences.OTHERS) if pick < 0.7 else rng.choice(corpus)[:200]
+            if rng.random() < 0.2:
+                text = " ".join(w for w in text.split() if rng.random() > 0.15)
+            lines += textwrap.wrap(text, rng.choice([30, 60, 500])) + rng.choice([[], [""], ["--"]])
+        rows.append((n, "\n".join(lines)))
+    got = {r.doc_id: (r.families, r.unconfirmed, r.paragraphs) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model, Scratch(spark, "t")).collect()}
+    reach = 3 * max(len(licences._tokens(n)) for n in notices) // 2
+    for n, text in rows:
+        families, unsure_families, count = set(), set(), 0
+        for block in re.split(r"\n(?:[^\w\n]*\n)+", "\n" + text + "\n"):
+            lines = block.strip("\n").split("\n")
+            tokens = [licences._tokens(x) for x in lines]
+            sure, unsure = [], []
+            for lo in range(len(lines)):
+                for hi in range(lo, len(lines)):
+                    if sum(len(t) for t in tokens[lo + 1 : hi]) > reach:
+                        break
+                    unit = lines[lo] if hi == lo else " ".join([" ".join(tokens[lo][-reach:]), *[" ".join(t[:reach]) for t in tokens[lo + 1 : hi + 1]]])
+                    family, p, held = plain_score(model, unit)
+                    if family != licences.UNKNOWN and p >= model.least and held > 0:
+                        if held >= 0.6:
+                            sure.append((-held, hi - lo, lo, hi, family))
+                        elif lo == hi:
+                            unsure.append((lo, family))
+            taken = []
+            for one in sorted(sure):
+                if all(one[3] < t[2] or t[3] < one[2] for t in taken):
+                    taken.append(one)
+            families |= {t[4] for t in taken}
+            unsure_families |= {f for at, f in unsure if not any(t[2] <= at <= t[3] for t in taken)}
+            count += len(taken)
+        assert got[n] == (sorted(families), sorted(unsure_families), count), text
+
+
 # ---- urls
 
 
