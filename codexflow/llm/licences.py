@@ -1,7 +1,8 @@
 """License scans: a trained paragraph classifier, native on the executors.
 
 The model is a multinomial logistic regression on binary word n-grams (one to three
-words), all those of the notices below and of the fixed paragraphs that are no notice.
+words): all those of the notices below and of the fixed paragraphs that are no notice,
+but for n-grams of function words alone.
 It is trained on the driver from the notices, in seeded variants, and from paragraphs
 that are no notice: the fixed ones and a bounded sample of the corpus.  A class
 ``unknown`` stands for the latter.  Calibration is the last step: models are trained
@@ -11,7 +12,9 @@ become part of the weights.
 
 A paragraph without a cue word is not scored, which changes nothing: cues are words
 of the vocabulary chosen so that the n-grams without one, all together, cannot lift the
-probability of any family to what a prediction needs (``cues_of``).
+probability of any family to what a prediction needs (``cues_of``).  Wrapped notices
+are looked for around words of the templates, of which any text that holds the share
+of a template's n-grams that confirms a prediction has one (``anchors_of``).
 
 Scoring is relational: distinct paragraphs are found first (a notice that occurs a
 million times is scored once), their n-grams meet the weights in a join, and sums
@@ -114,6 +117,10 @@ OTHERS = (
     "As for this, they may use it for what they can, or not, but it has to be of use to you.",
     "Not that all of you can or may do so: it is for the one who has it, and with any of it.",
 )
+# Function words.
+FUNCTION_WORDS = frozenset(
+    "a all an and any are as at be been but by can do for from had has have he her his i if in is it its may not of on one or she so that the their them they this to was we were what which who will with you".split()
+)
 TOKEN = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
 
 
@@ -132,6 +139,8 @@ class Model:
     weights: dict[str, list[float]]  # by n-gram, one for each family; calibrated, as the biases are
     bias: list[float]
     least: float  # the probability that a prediction needs, on which the cues depend
+    anchors: list[str]
+    share: float  # the share of a template that confirms, on which the anchors depend
 
 
 def _variants(text: str, rng: np.random.Generator, filler: list[str], count: int) -> list[str]:
@@ -194,7 +203,21 @@ def cues_of(vocabulary: list[str], w: np.ndarray, b: np.ndarray, least: float, o
         open_[holders.pop(best)] = False
 
 
-def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int = 400, rate: float = 2.0, penalty: float = 1e-3, fair: float = 0.05, least: float = 0.5) -> Model:
+def anchors_of(share: float, often: dict[str, int]) -> list[str]:
+    """Words of which every text has one that holds ``share`` of the n-grams of any template.
+
+    For each template words are taken, rare ones of many n-grams first, until the n-grams
+    without any of them are a smaller share."""
+    anchors: set[str] = set()
+    for notice in (n for t in NOTICES.values() for n in t):
+        grams = [set(g.split()) for g in _grams(_tokens(notice))]
+        while sum(not g & anchors for g in grams) >= share * len(grams) - 1e-9:
+            covers = {w: sum(w in g for g in grams if not g & anchors) / (1 + often.get(w, 0)) for g in grams for w in g - anchors}
+            anchors.add(max(sorted(covers), key=covers.__getitem__))
+    return sorted(anchors)
+
+
+def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int = 400, rate: float = 2.0, penalty: float = 1e-3, fair: float = 0.05, least: float = 0.5, share: float = 0.6) -> Model:
     """Fit on the notices and on paragraphs of the corpus that count as no notice."""
     rng = np.random.default_rng(seed)
     families = [*sorted(NOTICES), UNKNOWN]
@@ -221,7 +244,7 @@ def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int
         texts.append(p)
         label.append(len(families) - 1)
         wording.append(n % len(OTHERS) % 3 if n < 6 * len(OTHERS) else n % 3)
-    vocabulary = sorted({g for t in [*NOTICES.values(), OTHERS] for n in t for g in _grams(_tokens(n))})
+    vocabulary = sorted({g for t in [*NOTICES.values(), OTHERS] for n in t for g in _grams(_tokens(n)) if not set(g.split()) <= FUNCTION_WORDS})
     at = {g: n for n, g in enumerate(vocabulary)}
     x = np.zeros((len(texts), len(vocabulary)), np.float32)
     for row, text in enumerate(texts):
@@ -246,7 +269,7 @@ def train(paragraphs: list[str], seed: int = 3, variants: int = 24, rounds: int
     for p in paragraphs:
         for word in set(_tokens(p)):
             often[word] = often.get(word, 0) + 1
-    return Model(families, cues_of(vocabulary, w, b, least, often), {g: w[n].tolist() for g, n in at.items()}, b.tolist(), least)
+    return Model(families, cues_of(vocabulary, w, b, least, often), {g: w[n].tolist() for g, n in at.items()}, b.tolist(), least, anchors_of(share, often), share)
 
 
 def sample_paragraphs(documents: DataFrame, most_documents: int = 200, most_paragraphs: int = 1000) -> list[str]:
@@ -268,7 +291,7 @@ def _local(spark, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
-def scan_paragraphs(paragraphs: DataFrame, model: Model, share: float = 0.6) -> DataFrame:
+def scan_paragraphs(paragraphs: DataFrame, model: Model) -> DataFrame:
     """family, probability, held (share of a template) and confirmed of each distinct value of ``paragraph``; only
     those with a cue come back, and those that are found unknown do not."""
     spark = paragraphs.sparkSession
@@ -298,12 +321,17 @@ def scan_paragraphs(paragraphs: DataFrame, model: Model, share: float = 0.6) ->
     templates = _local(spark, templates, "t_family: string, template: int, t_gram: string, size: int")
     found = scored.join(table, "paragraph").join(F.broadcast(templates), (F.col("gram") == F.col("t_gram")) & (F.col("family") == F.col("t_family")))
     held = found.groupBy("paragraph", "family", "probability", "template").agg((F.count("*") / F.max("size")).alias("held"))
-    return held.groupBy("paragraph", "family", "probability").agg(F.max("held").alias("held"), (F.max("held") >= share).alias("confirmed"))
+    return held.groupBy("paragraph", "family", "probability").agg(F.max("held").alias("held"), (F.max("held") >= model.share - 1e-9).alias("confirmed"))
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for texts with one of the words."""
+    return "(?iu)(?<![\\p{L}\\p{N}])(?:" + "|".join(re.escape(w) for w in words) + ")(?![\\p{L}\\p{N}])"
 
 
-def _units(documents: DataFrame, cue: str, reach: int) -> DataFrame:
-    """Lines, and runs of lines that a wrapped notice may fill, that hold a cue: doc_id, block, the
-    places lo and hi of the first and last line in the block, and paragraph.
+def _units(documents: DataFrame, cue: str, anchor: str, reach: int) -> DataFrame:
+    """Lines with a cue, and runs of lines that a wrapped notice may fill, with a cue and an anchor:
+    doc_id, block, the places lo and hi of the first and last line in the block, and paragraph.
 
     A block ends at a line without a letter or digit.  Lines between the first and the last of a
     run hold at most ``reach`` words together; of these two the nearest ``reach`` words count."""
@@ -311,22 +339,22 @@ def _units(documents: DataFrame, cue: str, reach: int) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), r"(?dm)^[^\p{L}\p{N}\n]++$", "")
     blocks = documents.where(text.rlike(cue)).select("doc_id", F.explode(F.split(plain, "\n\n+")).alias("text"))
     blocks = blocks.where(F.col("text").rlike(cue)).select("doc_id", F.monotonically_increasing_id().alias("block"), F.split("text", "\n").alias("lines"))
-    words = F.transform("lines", lambda x: F.struct(x.alias("line"), x.rlike(cue).alias("hit"), F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0)).alias("words")))
+    words = F.transform("lines", lambda x: F.struct(x.alias("line"), x.rlike(cue).alias("hit"), x.rlike(anchor).alias("sure"), F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0)).alias("words")))
 
     def ends(x: Column) -> Column:
         n = F.size(x["words"])
         tail = F.slice(x["words"], F.greatest(F.lit(1), n - (reach - 1)), reach)
-        return F.struct(x["line"].alias("line"), x["hit"].alias("hit"), n.alias("n"), F.array_join(F.slice(x["words"], 1, reach), " ").alias("head"), F.array_join(tail, " ").alias("tail"))
+        return F.struct(x["line"].alias("line"), x["hit"].alias("hit"), x["sure"].alias("sure"), n.alias("n"), F.array_join(F.slice(x["words"], 1, reach), " ").alias("head"), F.array_join(tail, " ").alias("tail"))
 
     lines = blocks.select("doc_id", "block", F.transform(words, ends).alias("lines"))
     starts = lines.select("doc_id", "block", F.posexplode(F.transform("lines", lambda _, i: F.slice("lines", i + 1, reach + 2))).alias("lo", "run"))
-    starts = starts.where(F.exists("run", lambda x: x["hit"]))
+    starts = starts.where(F.col("run")[0]["hit"] | F.exists("run", lambda x: x["sure"]))
     # the furthest line that a run from here can end at
     none = F.struct(F.lit(0).alias("words"), F.lit(1).alias("last"))
     grown = lambda a, x: F.when(a["words"] > reach, a).otherwise(F.struct((a["words"] + x["n"]).alias("words"), (a["last"] + 1).alias("last")))
     last = F.aggregate(F.slice("run", 2, reach + 1), none, grown)["last"]
     several = F.transform(
-        F.filter(F.sequence(F.lit(1), last), lambda k: F.exists(F.slice("run", 1, k), lambda x: x["hit"])),
+        F.filter(F.sequence(F.lit(1), last), lambda k: F.exists(F.slice("run", 1, k), lambda x: x["hit"]) & ((k == 1) | F.exists(F.slice("run", 1, k), lambda x: x["sure"]))),
         lambda k: F.struct(
             (k - 1).alias("more"),
             F.when(k == 1, F.col("run")[0]["line"]).otherwise(F.concat_ws(" ", F.col("run")[0]["tail"], F.transform(F.slice("run", 2, k - 1), lambda x: x["head"]))).alias("paragraph"),
@@ -336,14 +364,13 @@ def _units(documents: DataFrame, cue: str, reach: int) -> DataFrame:
     return each.select("doc_id", "block", "lo", (F.col("lo") + F.col("u.more")).alias("hi"), F.col("u.paragraph").alias("paragraph"))
 
 
-def scan(documents: DataFrame, model: Model, scratch: Scratch, salts: int = 16, **options) -> DataFrame:
+def scan(documents: DataFrame, model: Model, scratch: Scratch, salts: int = 16) -> DataFrame:
     """doc_id, families (confirmed ones), unconfirmed (others that are predicted), the number
     of paragraphs that are confirmed notices, and the highest probability of these."""
-    cue = "(?iu)(?<![\\p{L}\\p{N}])(?:" + "|".join(re.escape(c) for c in model.cues) + ")(?![\\p{L}\\p{N}])"
     ids = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     reach = 3 * max(len(_tokens(n)) for t in NOTICES.values() for n in t) // 2
-    units = scratch.keep(_units(ids, cue, reach), "units")
-    judged = scan_paragraphs(units, model, **options)
+    units = scratch.keep(_units(ids, _any_of(model.cues), _any_of(model.anchors), reach), "units")
+    judged = scan_paragraphs(units, model)
     # of runs that overlap, the one that holds most of its template counts, then the shortest
     # a notice that very many documents hold is dealt to several tasks; judged paragraphs, which are distinct, to each
     salted = units.withColumn("salt", F.pmod(F.xxhash64("doc_id", "block"), F.lit(salts)))

@@ -263,7 +263,7 @@ def write_shards(documents: DataFrame, scratch: Scratch, tokenizer_path: str, en
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the beginnings of the texts let ranges cut the rows of one id
-    ranges = rows.withColumn("begin", F.substring("text", 1, 64)).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("begin").asc_nulls_first()).drop("begin")
+    ranges = rows.withColumn("begin", F.substring("text", 1, 16)).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("begin").asc_nulls_first()).drop("begin")
     ordered = ranges.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return scratch.keep(ordered.mapInArrow(write, MANIFEST), "manifest")
 

@@ -96,6 +96,12 @@ def test_texts_without_a_cue_are_never_predicted(spark, model):
         assert 1 / np.exp(z - z[k]).sum() < model.least
 
 
+def test_confirmed_texts_have_an_anchor(model):
+    for notice in (n for t in licences.NOTICES.values() for n in t):
+        grams = licences._grams(licences._tokens(notice))
+        assert sum(not set(g.split()) & set(model.anchors) for g in grams) < model.share * len(grams)
+
+
 def test_scan_equals_a_plain_scorer_of_every_paragraph(spark, model):
     import re
     import textwrap
@@ -128,7 +134,7 @@ def test_scan_equals_a_plain_scorer_of_every_paragraph(spark, model):
                     unit = lines[lo] if hi == lo else " ".join([" ".join(tokens[lo][-reach:]), *[" ".join(t[:reach]) for t in tokens[lo + 1 : hi + 1]]])
                     family, p, held = plain_score(model, unit)
                     if family != licences.UNKNOWN and p >= model.least and held > 0:
-                        if held >= 0.6:
+                        if held >= model.share - 1e-9:
                             sure.append((-held, hi - lo, lo, hi, family))
                         elif lo == hi:
                             unsure.append((lo, family))
