@@ -19,7 +19,9 @@ get a component.  What is then left in a bucket, pairs of
 different components, is compared by signatures too: every member that the star did
 not reach with every other, in pieces of bounded size; those that may be links are
 decided exactly in place, the likeliest first, until the components are joined.  No
-pair of a bucket is lost to a cap.
+pair of a bucket is lost to a cap.  Buckets that hold a fair part of all entries are
+dealt to several tasks by a salt wherever rows meet by their bucket, and pieces are
+bounded by rows and by elements.
 
 Rows
     A null text is linked with nothing and is its own class.  Texts without words
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, hot_keys, join_hot
 from .hashing import _ODD, U, batches_of, mix, shingles_of
 from .storage import Scratch
 
@@ -143,7 +145,8 @@ def _sketch(batches):
             some = np.bincount(owner, minlength=b - a) > 0
             digest = [None if t is None else xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts[a:b]]
             short = [row.tobytes() for row in _bytes(sigs)]
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(digest, pa.binary()), pa.array(short, pa.binary()), _lists(keys[some].reshape(-1), some * BANDS)], ["doc_id", "digest", "sig", "bands"])
+            size = pa.array(np.bincount(owner, minlength=b - a).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(digest, pa.binary()), pa.array(short, pa.binary()), size, _lists(keys[some].reshape(-1), some * BANDS)], ["doc_id", "digest", "sig", "size", "bands"])
 
 
 def _elements(batches):
@@ -247,23 +250,25 @@ def _rest(need: int, threshold: float):
     return run
 
 
-def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8, piece: int = 1024) -> DataFrame:
+def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8, piece: int = 1024, piece_elements: int = 1 << 22) -> DataFrame:
     """doc_id, class_id (smallest id of the class), copy_of (smallest id with the same
     text) and kept (whether this is the class's document) of every row."""
     texts = _texts(documents)
-    sketches = scratch.keep(texts.mapInArrow(_sketch, "doc_id long, digest binary, sig binary, bands array<long>"), "sketches")
+    sketches = scratch.keep(texts.mapInArrow(_sketch, "doc_id long, digest binary, sig binary, size long, bands array<long>"), "sketches")
     copies = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     own = F.col("doc_id") == F.col("rep")
-    members = scratch.keep(sketches.join(copies, "digest", "left").select("doc_id", "rep", F.when(own, F.col("sig")).alias("sig"), F.when(own, F.col("bands")).alias("bands")), "members")
+    members = scratch.keep(sketches.join(copies, "digest", "left").select("doc_id", "rep", F.when(own, F.col("sig")).alias("sig"), "size", F.when(own, F.col("bands")).alias("bands")), "members")
     scratch.drop(sketches)
     need = least_agreement(threshold)
 
     # Buckets of at least two classes.
     entries = members.where("bands is not null").select("rep", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    held = scratch.keep(entries.join(shared, "key").distinct(), "buckets")
+    shared = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    shared = scratch.keep(shared.select("key", "n"), "shared")
+    hot = hot_keys(shared)
+    held = scratch.keep(join_hot(entries, shared.select("key"), hot).distinct(), "buckets")
     wanted = held.select(F.col("rep").alias("wanted")).distinct()
-    sigs = scratch.keep(members.where("sig is not null").join(wanted, F.col("rep") == F.col("wanted"), "left_semi").select("rep", "sig", "bands").dropDuplicates(["rep"]), "signatures")
+    sigs = scratch.keep(members.where("sig is not null").join(wanted, F.col("rep") == F.col("wanted"), "left_semi").select("rep", "sig", "size", "bands").dropDuplicates(["rep"]), "signatures")
     elements = scratch.keep(texts.join(wanted, texts["doc_id"] == wanted["wanted"], "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_elements, "doc_id long, elements array<long>"), "elements")
 
     def decide(pairs: DataFrame, name: str) -> DataFrame:
@@ -286,7 +291,7 @@ def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8, piec
     lo, hi = F.least("rep", "star"), F.greatest("rep", "star")
     rank = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("v"))  # the same order in all buckets, so that pairs coincide
     stars = held.groupBy("key").agg(F.min(rank)["v"].alias("star"))
-    pairs = held.join(stars, "key").where("rep != star").groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.min("star").alias("hub"))
+    pairs = join_hot(held, stars, hot).where("rep != star").groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.min("star").alias("hub"))
     pairs = pairs.select("hub", F.when(F.col("hub") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
     links = links.unionByName(decide(likely(pairs, "pairs"), "links").select(F.col("hub").alias("a"), F.col("other").alias("b")))
     label = components(links, scratch)
@@ -294,12 +299,15 @@ def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8, piec
     placed = held.join(label.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     star = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("label").alias("l")))["l"]
     open_keys = placed.groupBy("key").agg(star.alias("star_label"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "star_label")
-    open_ = scratch.keep(placed.join(open_keys, "key").select("key", "rep", "label", (F.col("label") != F.col("star_label")).alias("stray")), "open")
+    open_ = scratch.keep(join_hot(placed, open_keys, hot).select("key", "rep", "label", (F.col("label") != F.col("star_label")).alias("stray")), "open")
 
     # What is left: each stray with every member of its bucket, in pieces.
-    sizes = open_.groupBy("key").agg(F.ceil(F.sum(F.col("stray").cast("int")) / piece).cast("int").alias("ni"), F.ceil(F.count("*") / piece).cast("int").alias("nj"))
+    # A piece holds about ``piece`` rows of each side, or fewer if they have many elements.
     once = elements.groupBy(F.col("doc_id").alias("rep")).agg(F.first("elements").alias("elements"))
-    rows = open_.join(sizes, "key").join(sigs, "rep").join(once, "rep")
+    wide = open_.join(sigs, "rep")
+    pieces = lambda some: F.ceil(F.greatest(F.sum(some) / piece, F.sum(some * F.col("size")) / piece_elements)).cast("int")
+    sizes = wide.groupBy("key").agg(pieces(F.col("stray").cast("int")).alias("ni"), pieces(F.lit(1)).alias("nj"))
+    rows = join_hot(wide.drop("size"), sizes, hot).join(once, "rep")
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     carry = ("rep", "label", "stray", "sig", "bands", "elements")

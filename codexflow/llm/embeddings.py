@@ -10,17 +10,20 @@ smallest vector that it reaches inside the bucket.  Equal vectors are one entry
 a count.  Buckets over ``block`` are cut into parts, and every two parts are a piece
 of work of their own.
 
-The rotations are fitted on at most ``sample`` vectors, those of smallest hash.  Signs
+The rotations are fitted on at most ``sample`` vectors of at most ``sample_bytes``
+(or on 500), those of smallest hash.  Signs
 are taken around the mean, which keeps buckets small but widens the angle of close
 pairs when the table has a common direction.  So partners at exactly the threshold
 are planted beside the sample, and the number and length of the substrings are those
-of the least work that find ``recall`` of them; without any, all vectors are compared.
+of the least work, for the number of rows, that find ``recall`` of them; so both grow with
+the table.  If none do, all vectors are compared.
 
 Rows
     Vectors that are null, zero, or hold null or non-finite components link with
     nothing.  Shorter vectors count as if zeros followed.  Rows with the same id are
-    vectors of their own.  A null id is kept, without a component.  Empty tables give
-    no rows; further columns are not read.
+    vectors of their own.  A null id is kept, without a component.  Very long vectors
+    make the fitted sample smaller.  Ties: a component has the name of its smallest id.
+    Empty tables give no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,21 +84,28 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, tables: int,
     return (signs @ (1 << np.arange(bits, dtype=np.int64))) + (np.arange(tables) << bits)
 
 
-def shape(sample: np.ndarray, rows: int, threshold: float, tables: int, bits: int, recall: float = 0.985) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(mean, projection, tables, bits): those asked for if they find the planted partners, else those of the least work that do."""
+def shape(sample: np.ndarray, rows: int, threshold: float, tables: int, bits: int, recall: float = 0.985, entry: float = 100.0) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(mean, projection, tables, bits): the numbers of substrings and of their bits, from ``tables`` and up to
+    ``bits``, that find the planted partners with the least work for so many rows.
+
+    Longer substrings make smaller buckets but need more tables for the same recall, so both grow with
+    the logarithm of the rows.  Work for a vector is the vectors that it meets, as the sample tells, and
+    ``entry`` for each table that it is put into."""
     x, y = planted(sample, threshold)
     mean, projection = fit(sample, tables, bits)
-    found = lambda t, b: not len(x) or (codes(x, mean, projection, t, b) == codes(y, mean, projection, t, b)).any(axis=1).mean() >= recall
-    if found(tables, bits):
-        return mean, projection, tables, bits
-    mean, projection = fit(sample, 4 * tables, bits)
-    best = (float(rows), 1, 0)  # no bits: every pair is compared
-    for t in (tables, 2 * tables, 4 * tables):
-        b = next((b for b in range(bits, 0, -1) if found(t, b)), 0)
+    best, t = (float(rows), 1, 0), tables  # no bits: every pair is compared
+    while t <= 16 * tables:
+        if projection.shape[1] < t * bits:
+            mean, projection = fit(sample, t, bits)
+        found = lambda b: not len(x) or (codes(x, mean, projection, t, b) == codes(y, mean, projection, t, b)).any(axis=1).mean() >= recall  # noqa: B023, E731
+        b = next((b for b in range(bits, 0, -1) if found(b)), 0)
         if b:
-            sizes = np.unique(codes(sample, mean, projection, t, b), return_counts=True)[1]
-            # pairs for each vector, and what an entry costs besides
-            best = min(best, (rows * float((sizes.astype(float) ** 2).sum()) / len(sample) ** 2 + 100.0 * t, t, b))
+            sizes = np.unique(codes(sample, mean, projection, t, b), return_counts=True)[1].astype(float)
+            met = rows * float((sizes * (sizes - 1)).sum()) / max(1, len(sample) * (len(sample) - 1))
+            best = min(best, (met + entry * t, t, b))
+            if met <= entry * t:
+                break
+        t *= 2
     return mean, projection, best[1], best[2]
 
 
@@ -152,7 +162,7 @@ def _links(batch: pa.RecordBatch, dim: int, kind: str, threshold: float, tables:
     return rep[some], links[some], label[some]
 
 
-def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95, tables: int = 16, bits: int = 13, sample: int = 20_000, block: int = 1024, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95, tables: int = 16, bits: int = 24, sample: int = 20_000, sample_bytes: int = 64 << 20, block: int = 1024, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = vectors.sparkSession
     dim = widest(vectors, column)
@@ -174,7 +184,7 @@ def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95, tables:
     same = rows.where("digest is not null and vec_id is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     members = scratch.keep(rows.drop("v").join(same, "digest", "left").select("vec_id", "rep", "n"), "members")
     reps = rows.join(same, "digest").where("vec_id = rep").select("rep", "n", "v").dropDuplicates(["rep"])
-    taken = [np.frombuffer(bytes(r["v"]), kind) for r in reps.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).collect()]
+    taken = [np.frombuffer(bytes(r["v"]), kind) for r in reps.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(max(500, min(sample, sample_bytes // (8 * max(1, dim))))).collect()]
     if not taken:
         return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     x = np.stack(taken).astype(float)

@@ -44,3 +44,17 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", r
     smallest = label.groupBy("new").agg(F.min("old").alias("component"))
     out = label.join(smallest, "new").select(F.col("old").alias("vertex"), "component")
     return scratch.keep(out, "components")
+
+
+def hot_keys(counts: DataFrame, key: str = "key", n: str = "n", least: int = 64, most: int = 256) -> list[int]:
+    """Keys that hold more than 1 / ``most`` of all rows (so at most ``most`` keys), of a table of keys and their numbers of rows."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) > max(least, total // most)).select(key).limit(most).collect()]
+
+
+def join_hot(many: DataFrame, one: DataFrame, hot: list[int], key: str = "key", of: str = "rep", salts: int = 64) -> DataFrame:
+    """Join ``many`` rows of a key with the ``one`` row that it has, with the rows of hot keys dealt to several tasks."""
+    is_hot, none = F.col(key).isin(hot), F.lit(0)
+    left = many.withColumn("salt_", F.when(is_hot, F.pmod(F.xxhash64(of), F.lit(salts)).cast("int")).otherwise(none))
+    right = one.withColumn("salt_", F.explode(F.when(is_hot, F.sequence(none, F.lit(salts - 1))).otherwise(F.array(none))))
+    return left.join(right, [key, "salt_"]).drop("salt_")

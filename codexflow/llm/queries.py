@@ -42,7 +42,7 @@ def op2_url_filter(spark, sf_dir):
 
 
 def op3_exact_topk(spark, sf_dir):
-    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, Scratch(spark, "op3"))
 
 
 def op4_best_fit_packing(spark, sf_dir):

@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import quoted
+
 
 def widest(vectors: DataFrame, column: str = "embedding") -> int:
-    return vectors.agg(F.max(F.size(F.col(column)))).first()[0] or 0
+    return vectors.agg(F.max(F.size(F.col(quoted(column))))).first()[0] or 0
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:

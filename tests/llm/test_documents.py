@@ -510,6 +510,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got) and len(got) == len(rows)
 
 
+def test_hot_buckets_in_small_pieces(spark, monkeypatch):
+    rng = random.Random(13)
+    text = sentence(rng, 150)
+    rows = [near_copies(rng, text, 0.02) for _ in range(90)] + [sentence(rng, 40) for _ in range(40)]
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(dartminhash, "hot_keys", lambda shared: graph.hot_keys(shared, least=1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({"piece": 16}, {"piece_elements": 1000}):
+        assert {r.doc_id: r.class_id for r in dartminhash.classes(docs, Scratch(spark, "t"), **options).collect()} == brute_classes(rows)
+
+
+def test_hot_keys_are_few_and_lose_nothing(spark):
+    many = spark.createDataFrame([(1 if n < 900 else n, n) for n in range(2000)], "key long, rep long")
+    counts = many.groupBy("key").count().withColumnRenamed("count", "n")
+    hot = graph.hot_keys(counts)
+    assert hot == [1]
+    joined = graph.join_hot(many, counts, hot)
+    assert joined.count() == 2000 and joined.columns == ["key", "rep", "n"]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = odd_documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]

@@ -280,7 +280,7 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     for scale in (1024.0, 2.0**40):
         rows, df = odd_vectors(spark, rng)
-        got = topk.search(df, F.col("vec_id") % 10 == 0, k=4, scale=scale, block_rows=32, query_rows=5, groups=3).collect()
+        got = topk.search(df, F.col("vec_id") % 10 == 0, Scratch(spark, "t"), k=4, scale=scale, block_rows=32, query_rows=5, most_groups=3).collect()
         fine = [(k, np.float32(v + [0.0] * (12 - len(v))).astype(float)) for k, v, _ in rows if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
         ints = [(k, [int(np.floor(scale * x)) for x in v]) for k, v in fine]
         wanted = []
@@ -292,7 +292,7 @@ def test_top_k_equals_brute_force(spark):
             assert sorted(tuple(r) for r in got) == sorted(wanted)
         else:
             assert len(got) == len(wanted)
-    assert topk.search(df.where("false"), F.lit(True)).collect() == []
+    assert topk.search(df.where("false"), F.lit(True), Scratch(spark, "t")).collect() == []
 
 
 def brute_links(rows, threshold):
@@ -361,3 +361,31 @@ def test_recall_with_a_common_direction(spark):
         true = near.sum(axis=1)
         assert all(got[n] <= true[n] for n in range(len(x)))
         assert sum(got.values()) >= 0.97 * true.sum(), common
+
+
+def test_substrings_grow_with_the_table():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    met = []
+    for rows in (10**5, 10**9):
+        mean, projection, tables, bits = embeddings.shape(x, rows, 0.95, 16, 24)
+        away = rng.standard_normal(x.shape)
+        away -= (away * x).sum(axis=1, keepdims=True) * x
+        c = rng.uniform(0.95, 0.96, (len(x), 1))
+        y = c * x + np.sqrt(1 - c * c) * away / np.linalg.norm(away, axis=1, keepdims=True)
+        recall = (embeddings.codes(x, mean, projection, tables, bits) == embeddings.codes(y, mean, projection, tables, bits)).any(axis=1).mean()
+        print(f"{rows} rows: {tables} substrings of {bits} bits find {recall:.3f} of the partners at .95 to .96")
+        assert recall >= 0.97
+        met.append((tables, bits))
+    assert met[1][0] > met[0][0] and met[1][1] > met[0][1]
+
+
+def test_bounds_of_other_blocks_drop_candidates():
+    rng = np.random.default_rng(10)
+    block, ids, query = rng.integers(-99, 99, (16, 500)).astype(float), np.arange(500), rng.integers(-99, 99, (1, 16)).astype(float)
+    score = np.sort(query[0] @ block)[::-1]
+    (at, found), = topk.best_of_block(query, [-1], block, ids, 10, [score[3]])
+    assert found.tolist() == score[:4].tolist() and len(at) == 4
+    (at, _), = topk.best_of_block(query, [-1], block, ids, 10, [score[0] + 1])
+    assert len(at) == 0
