@@ -37,7 +37,7 @@ def compare(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
         "ll": sign * F.greatest(F.lit(0.0), 2 * (_xlogx_ratio(a, ea) + _xlogx_ratio(b, eb))),
         "chi2": sign * chi,
         "log_ratio": F.log2(ra / rb),
-        "pct_diff": F.when(b > 0, (a / c - b / d) * 100 / (b / d)),
+        "pct_diff": (ra - rb) * 100 / rb,
         "odds": odds,
         "odds_low": F.exp(F.log(odds) - 1.96 * se),
         "odds_high": F.exp(F.log(odds) + 1.96 * se),
@@ -63,40 +63,21 @@ def chi2_p(x: pd.Series) -> pd.Series:
     return x.abs().map(lambda v: math.erfc(math.sqrt(v / 2)), na_action="ignore")
 
 
-def upper_gamma(s: float, x: float) -> float:
-    """Regularised upper incomplete gamma function, by series or continued fraction."""
-    if x <= 0:
+def chi2_tail(x: float, df: int) -> float:
+    """p of a chi-square value with ``df`` degrees of freedom, by the finite sums for whole numbers of them."""
+    if x <= 0 or df <= 0:
         return 1.0
-    scale = math.exp(s * math.log(x) - x - math.lgamma(s))
-    if x < s + 1:
-        term = total = 1 / s
-        k = s
-        while abs(term) > abs(total) * 1e-16:
-            k += 1
-            term *= x / k
-            total += term
-        return max(0.0, 1 - total * scale)
-    tiny = 1e-300
-    b = x + 1 - s
-    c, d = 1 / tiny, 1 / b
-    out = d
-    for k in range(1, 500):
-        an = -k * (k - s)
-        b += 2
-        d = 1 / ((an * d + b) or tiny)
-        c = (b + an / c) or tiny
-        out *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return scale * out
-
-
-def chi2_p_of(df: int):
-    @F.pandas_udf(T.DoubleType())
-    def p(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: upper_gamma(df / 2, v / 2), na_action="ignore")
-
-    return p
+    half = x / 2
+    if df % 2 == 0:  # Poisson probabilities of fewer than df / 2 events
+        return min(1.0, sum(math.exp(k * math.log(half) - half - math.lgamma(k + 1)) for k in range(df // 2)))
+    more = sum(math.exp((k - 0.5) * math.log(half) - half - math.lgamma(k + 0.5)) for k in range(1, (df - 1) // 2 + 1))
+    return min(1.0, math.erfc(math.sqrt(half)) + more)
+
+
+@F.pandas_udf(T.DoubleType())
+def chi2_p_of(x: pd.Series, df: pd.Series) -> pd.Series:
+    """p of chi-square values with their degrees of freedom."""
+    return pd.Series([chi2_tail(v, int(k)) if v == v and k == k else None for v, k in zip(x, df, strict=True)], dtype=float)
 
 
 def critical(alpha: float) -> float:
@@ -108,29 +89,38 @@ def critical(alpha: float) -> float:
     return (lo + hi) / 2
 
 
-def keyness(target: DataFrame, reference: DataFrame, item: str = "item", measure: str = "ll", test: str = "ll", min_freq: int = 3, alpha: float = 0.05, bonferroni: bool = True, direction: str = "target", show_all: bool = False) -> DataFrame:
-    """Items of two count tables (item, n) with all measures, whether each is significant,
-    and its rank by a measure (odds by their logarithm).  Candidates occur ``min_freq`` times
-    in the target, or on either side if both directions are asked for."""
+def keyness(target: DataFrame, reference: DataFrame, item: str = "item", **options) -> DataFrame:
+    """``keyness_of`` two count tables (item, n)."""
+    both = target.select(item, F.col("n").alias("a")).join(reference.select(item, F.col("n").alias("b")), item, "full_outer").na.fill(0, ["a", "b"])
+    return keyness_of(both, item, **options)
+
+
+def keyness_of(both: DataFrame, item: str = "item", measure: str = "ll", test: str = "ll", min_freq: int = 3, alpha: float = 0.05, bonferroni: bool = False, direction: str = "target", show_all: bool = False) -> DataFrame:
+    """Items of a table (item, a, b) of counts in target and reference, with all measures, p-values and
+    whether each is significant, by a threshold that is divided by the number of items tested if
+    ``bonferroni`` is asked for.  Candidates occur ``min_freq`` times in the target, or on either
+    side if both directions are asked for."""
     if measure not in MEASURES or test not in ("ll", "chi2") or direction not in ("target", "both"):
         raise ValueError("unknown measure, test or direction")
-    both = target.select(item, F.col("n").alias("a")).join(reference.select(item, F.col("n").alias("b")), item, "full_outer").na.fill(0, ["a", "b"])
-    totals = both.agg(F.sum("a").alias("c"), F.sum("b").alias("d"))  # one row
     enough = F.col("a") if direction == "target" else F.greatest("a", "b")
+    totals = both.agg(F.sum("a").alias("c"), F.sum("b").alias("d"), F.sum((enough >= min_freq).cast("long")).alias("tested"))  # one row
     rows = both.crossJoin(F.broadcast(totals)).where(enough >= min_freq)
     rows = rows.withColumns(compare(F.col("a"), F.col("b"), F.col("c"), F.col("d")))
-    tested = rows.count() if bonferroni else 1
-    rows = rows.withColumn("sig", F.abs(F.col(test)) >= F.lit(critical(alpha / max(1, tested))))
+    rows = rows.withColumns({"p_ll": chi2_p(F.col("ll")), "p_chi2": chi2_p(F.col("chi2"))})
+    if bonferroni:
+        rows = rows.withColumn("sig", F.col(f"p_{test}") < alpha / F.col("tested"))
+    else:
+        rows = rows.withColumn("sig", F.abs(F.col(test)) > F.lit(critical(alpha)))
     if direction == "target":
         rows = rows.where("log_ratio > 0")
     if not show_all:
         rows = rows.where("sig")
-    return rows
+    return rows.drop("tested")
 
 
 def across(counts: DataFrame, totals: DataFrame, item: str = "item", part: str = "part") -> DataFrame:
     """Whether an item is spread over parts as the words are: chi-square of item against
-    rest, Cramér's V, and for each part the adjusted standardised residual."""
+    rest with its p, Cramér's V, and for each part the adjusted standardised residual."""
     parts = totals.select(part, F.col("n").cast("double").alias("t"))
     grid = counts.select(item).distinct().crossJoin(F.broadcast(parts))  # parts are few
     cells = grid.join(counts.select(item, part, "n"), [item, part], "left").na.fill(0, ["n"])
@@ -145,4 +135,5 @@ def across(counts: DataFrame, totals: DataFrame, item: str = "item", part: str =
     rows = rows.withColumn("chi", chi).withColumn("residual", residual)
     whole = rows.groupBy(item).agg(F.sum("chi").alias("chi2"), F.max("k").alias("k"), F.max("all").alias("all"))
     whole = whole.select(item, "chi2", (F.col("k") - 1).alias("df"), F.sqrt(F.col("chi2") / F.col("all")).alias("cramer_v"))
+    whole = whole.withColumn("p", chi2_p_of("chi2", "df"))
     return rows.select(item, part, "n", "residual").join(whole, item)

@@ -125,9 +125,15 @@ def span_text(corpus: Corpus, spans: DataFrame) -> DataFrame:
     return rows.select("book", "id", text.alias("text"))
 
 
-# Words before a name in an address, adverbs that do not describe a manner.
-LEADS = ("oh", "ah", "o", "well", "yes", "no", "now", "but", "and", "my", "dear", "come", "please", "thank", "you")
-PLAIN_ADVERBS = ("so", "then", "now", "here", "there", "not", "just", "only", "very", "too", "also", "still", "again", "n't", "never", "ever")
+# Words that lead to an address, marks that follow one, words that open no address,
+# and adverbs that do not say how something is said.
+LEADS = ("my", "dear", "o", "oh", "ah", "well", "yes", "no", "now", "look", "listen", "sir", "madam")
+AFTER_ADDRESS = (",", "!", "?", ".", ";", "—", "--", ":")
+DETERMINERS = ("a", "an", "the", "this", "that", "these", "those", "some", "any")
+PLAIN_ADVERBS = (
+    "then", "again", "now", "so", "also", "still", "there", "here", "too", "just", "even", "only", "back", "up",
+    "down", "out", "away", "on", "off", "in", "once", "at", "all", "not", "n't", "never", "ever", "yet", "however",
+)
 
 
 def speech_verbs(corpus: Corpus, hops: int = 4, reach: int = 8) -> DataFrame:
@@ -167,21 +173,26 @@ def speech_adverbs(corpus: Corpus, verbs: DataFrame) -> DataFrame:
 
 
 def vocatives(corpus: Corpus) -> DataFrame:
-    """(book, qi, coref): who is addressed by name in a quote: at its start, after a comma or a word that
-    leads to an address, and before a mark or the quote's end."""
-    marks = [",", ".", "!", "?", ";", ":", "—", "-", *QUOTE_MARKS]
+    """(book, qi, coref): persons addressed in a quote.  A name at the quote's beginning, after a comma or
+    after a word that leads to an address; a description after such a word, or between a comma and
+    the end of a sentence or of the quote.  A mark or the quote's end has to follow."""
     words = corpus.token.select("book", "i", F.lower("word").alias("w"))
-    inside = corpus.quote.select("book", "qi", "start", "end", F.explode(F.sequence("start", "end")).alias("m_start"))
-    names = corpus.mention.where("prop in ('PROP', 'NOM')").select("book", "coref", "prop", F.col("start").alias("m_start"), F.col("end").alias("m_end"))
-    rows = names.join(inside, ["book", "m_start"])
-    before = words.select("book", (F.col("i") + 1).alias("m_start"), F.col("w").alias("before"))
+    inside = corpus.quote.select("book", "qi", "start", "end", F.explode(F.sequence("start", "end")).alias("i")).join(words, ["book", "i"])
+    # the first word, quotation marks aside
+    opening = inside.groupBy("book", "qi").agg(F.coalesce(F.min(F.when(~F.col("w").isin(*QUOTE_MARKS), F.col("i"))), F.min("i")).alias("opening"))
+    names = corpus.mention.where("prop in ('PROP', 'NOM') and cat = 'PER'").select("book", "coref", "prop", F.col("start").alias("i"), F.col("end").alias("m_end"))
+    rows = names.join(inside, ["book", "i"]).join(opening, ["book", "qi"])
+    before = words.select("book", (F.col("i") + 1).alias("i"), F.col("w").alias("w_before"))
     after = words.select("book", (F.col("i") - 1).alias("m_end"), F.col("w").alias("after"))
-    rows = rows.join(before, ["book", "m_start"], "left").join(after, ["book", "m_end"], "left")
-    opens = (F.col("m_start") == F.col("start")) | F.col("before").isin(",", *QUOTE_MARKS)
-    leads = F.col("before").isin(*LEADS)
-    closes = (F.col("m_end") == F.col("end")) | F.col("after").isin(*marks)
-    fits = F.when(F.col("prop") == "PROP", opens | leads).otherwise(leads | (F.col("before") == ","))
-    return rows.where(fits & closes).select("book", "qi", "coref").distinct()
+    rows = rows.join(before, ["book", "i"], "left").join(after, ["book", "m_end"], "left")
+    before = F.when(F.col("i") > F.col("start"), F.col("w_before"))  # nothing before the quote counts
+    led, comma = F.coalesce(before.isin(*LEADS), F.lit(False)), F.coalesce(before == ",", F.lit(False))
+    last, mark = F.col("m_end") >= F.col("end"), F.col("after").isin(*QUOTE_MARKS)
+    closed = last | mark | F.col("after").isin(*AFTER_ADDRESS)
+    ends = last | mark | F.col("after").isin(".", "!", "?")
+    name = (F.col("prop") == "PROP") & ((F.col("i") <= F.col("opening")) | led | comma)
+    described = (F.col("prop") == "NOM") & ~F.col("w").isin(*DETERMINERS) & (led | (comma & ends))
+    return rows.where(closed & (name | described)).select("book", "qi", "coref").distinct()
 
 
 def quote_records(corpus: Corpus) -> DataFrame:
@@ -208,33 +219,59 @@ def conversations(corpus: Corpus, gap: int = 60) -> DataFrame:
     return told.withColumn("conv", F.sum(new.cast("int")).over(order) - 1).select("book", "qi", "conv")
 
 
-# Words that open a chapter's heading, and marks that close a sentence.
-HEADING_WORDS = "chapter|book|part|volume|prologue|epilogue|preface|introduction|letter|act|scene"
-
-
-def headings(corpus: Corpus, longest: int = 12) -> DataFrame:
-    """(book, para, s, e): paragraphs that look like headings: at most ``longest`` words, no quote, and a
-    heading word or numeral, or all capitals, or no closing mark."""
-    t = corpus.token.join(spoken(corpus).select("book", "i", F.lit(True).alias("said")), ["book", "i"], "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ")
-    rows = t.groupBy("book", "para").agg(F.min("i").alias("s"), F.max("i").alias("e"), F.sum(F.col("isword").cast("int")).alias("words"), F.max(F.coalesce("said", F.lit(False))).alias("said"), text.alias("text"))
-    numbered = F.col("text").rlike(rf"(?i)^\s*(?:(?:{HEADING_WORDS})\b|[ivxlcdm]+\s*\.?\s*$|\d+\s*\.?\s*$)")
-    capitals = (F.col("text") == F.upper("text")) & (F.col("text") != F.lower("text"))
-    return rows.where((F.col("words") > 0) & (F.col("words") <= longest) & ~F.col("said") & (numbered | capitals | ~F.col("text").rlike(r"[.!?:;,\"'”’]\s*$"))).select("book", "para", "s", "e", "text")
-
-
-def chapters(corpus: Corpus, longest: int = 12) -> DataFrame:
-    """(book, seg, label, s, e): from a heading (several in a row are one) to the next; a book with fewer
-    than two headings is one segment."""
+# Words that open a chapter's heading, numerals, a signature such as "G. K. C.", and
+# marks at a paragraph's end that are none of a heading.
+HEADING_WORDS = "chapter|book|part|adventure|story|section|canto|volume|act|scene|prologue|epilogue|introduction|preface"
+NUMERAL = r"(?:[ivxlcdm]+|\d+)[.:)]?(?:\s|$)"
+SIGNATURE = r"^(?:[A-Z]\.\s*)+[A-Z'’-]*\.?$"
+CLOSING = ".?!,;:\"'”’"
+
+
+def headings(corpus: Corpus, longest: int = 12, numbered: bool = True, caps: bool = True, short: bool = False) -> DataFrame:
+    """(book, para, s, e, text): paragraphs that look like headings: at most ``longest`` words, not beginning with a
+    quotation mark, and a heading word or numeral at their beginning, or capitals only (three letters
+    or more, no signature), or, if ``short`` is asked for, at most ten words without a closing mark."""
+    order = F.array_sort(F.collect_list(F.struct("i", "word")))
+    rows = corpus.token.groupBy("book", "para").agg(F.min("i").alias("s"), F.max("i").alias("e"), F.sum(F.col("pos").isin("PUNCT", "SPACE", "SYM").cast("int")).alias("others"), F.count("*").alias("n"), order.alias("ws"))
+    rows = rows.withColumn("words", F.col("n") - F.col("others")).where((F.col("words") > 0) & (F.col("words") <= longest) & ~F.col("ws")[0]["word"].isin(*QUOTE_MARKS))
+    rows = rows.withColumn("text", F.array_join(F.transform("ws", lambda x: x["word"]), " "))
+    plain = F.trim(F.regexp_replace("text", r"\s+(?=[.,:;!?)'’])", ""))
+    letters = F.regexp_replace(plain, r"[^\p{L}]", "")
+    rules = [F.lit(False)]
+    if numbered:
+        rules.append(F.lower(plain).rlike(rf"^(?:(?:{HEADING_WORDS})\b|{NUMERAL})"))
+    if caps:
+        rules.append((F.length(letters) >= 3) & letters.rlike(r"^\p{Lu}+$") & ~plain.rlike(SIGNATURE))
+    if short:
+        rules.append((F.col("words") <= 10) & ~F.substring(plain, -1, 1).isin(*CLOSING))
+    found = rules[0]
+    for rule in rules[1:]:
+        found = found | rule
+    return rows.where(found).select("book", "para", "s", "e", "text")
+
+
+def chapters(corpus: Corpus, longest: int = 12, min_words: int = 0, **rules) -> DataFrame:
+    """(book, seg, label, s, e): from a heading (several in a row are one) to the next; a heading with less than
+    ``min_words`` words since the last one that counts is passed over; a book with fewer than two
+    headings is one segment."""
     from pyspark.sql.window import Window as W
 
     order = W.partitionBy("book").orderBy("para")
-    rows = headings(corpus, longest)
+    rows = headings(corpus, longest, **rules)
     first = rows.withColumn("new", F.coalesce(F.col("s") != F.lag("e").over(order) + 1, F.lit(True))).withColumn("run", F.sum(F.col("new").cast("int")).over(order))
-    starts = first.groupBy("book", "run").agg(F.min("s").alias("s"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "text"))), lambda x: x["text"]), " ").alias("label"))
+    starts = first.groupBy("book", "run").agg(F.min("s").alias("s"), F.max("e").alias("h_end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "text"))), lambda x: x["text"]), " ").alias("label"))
+    if min_words > 0:
+        before = corpus.token.withColumn("w", F.sum(F.col("isword").cast("long")).over(W.partitionBy("book").orderBy("i"))).select("book", "i", "w", "isword")
+        at = lambda c, name: before.select("book", F.col("i").alias(c), (F.col("w") - (F.col("isword").cast("int") if c == "s" else 0)).alias(name))
+        starts = starts.join(at("s", "w_s"), ["book", "s"]).join(at("h_end", "w_e"), ["book", "h_end"])
+        heads_ = starts.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("s", "run", "w_s", "w_e"))).alias("heads"))
+        fold = lambda kept, h: F.when((F.size(kept) > 0) & (h["w_s"] - F.element_at(kept, -1)["w_e"] < min_words), kept).otherwise(F.concat(kept, F.array(h)))
+        some = heads_.select("book", F.explode(F.aggregate("heads", F.slice("heads", 1, 0), fold)).alias("h")).select("book", F.col("h.run").alias("run"))
+        starts = starts.join(some, ["book", "run"], "left_semi").drop("w_s", "w_e")
+        starts = starts.withColumn("run", F.row_number().over(W.partitionBy("book").orderBy("s")))
     by_run = W.partitionBy("book").orderBy("run")
     sizes = corpus.sizes.select("book", "n_tokens")
-    ends = starts.join(F.broadcast(sizes), "book").withColumn("e", F.coalesce(F.lead("s").over(by_run), F.col("n_tokens")) - 1).withColumn("k", F.count("*").over(W.partitionBy("book")))
+    ends = starts.join(sizes, "book").withColumn("e", F.coalesce(F.lead("s").over(by_run), F.col("n_tokens")) - 1).withColumn("k", F.count("*").over(W.partitionBy("book")))
     several = ends.where("k >= 2").select("book", (F.col("run") - 1).cast("long").alias("seg"), "label", "s", "e")
     single = sizes.join(several.select("book").distinct(), "book", "left_anti").select("book", F.lit(0).cast("long").alias("seg"), F.lit("").alias("label"), F.lit(0).cast("long").alias("s"), (F.col("n_tokens") - 1).alias("e"))
     return several.unionByName(single)

@@ -57,9 +57,9 @@ def sentiment_arc(sentences: DataFrame, valence: DataFrame, n: int = 10, strong:
 
 
 def syllables(word: Column) -> Column:
-    """Groups of vowel letters, without a silent e at the end, at least one."""
+    """Groups of vowel letters, without an e at the end (but for -le and -ee), at least one."""
     groups = F.size(F.regexp_extract_all(F.lower(word), F.lit("[aeiouy]+"), F.lit(0)))
-    silent = F.lower(word).rlike("[^aeiouy]e$") & ~F.lower(word).rlike("le$") & (groups > 1)
+    silent = F.lower(word).rlike("e$") & ~F.lower(word).rlike("[le]e$") & (groups > 1)
     return F.greatest(F.lit(1), groups - silent.cast("int"))
 
 

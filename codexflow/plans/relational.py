@@ -159,7 +159,7 @@ t AS (SELECT sum(a) AS c, sum(b) AS d FROM k), x AS (SELECT item, a, b, a::DOUBL
 y AS (SELECT *, c * (fa + fb) / (c + d) AS ea, d * (fa + fb) / (c + d) AS eb, CASE WHEN a = 0 OR b = 0 OR c - a = 0 OR d - b = 0 THEN 0.5 ELSE 0 END AS h FROM x),
 z AS (SELECT item, a, b, CASE WHEN fa / c >= fb / d THEN 1.0 ELSE -1.0 END AS sg, 2 * (CASE WHEN a > 0 THEN a * ln(a / ea) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b / eb) ELSE 0 END) AS g,
 (c + d) * (fa * (d - fb) - fb * (c - fa)) ** 2 / ((fa + fb) * (c + d - fa - fb) * c * d) AS x2, log2((CASE WHEN a > 0 THEN fa ELSE 0.5 END / c) / (CASE WHEN b > 0 THEN fb ELSE 0.5 END / d)) AS lr,
-CASE WHEN b > 0 THEN (fa / c - fb / d) * 100 / (fb / d) END AS pd, (fa + h) * (d - fb + h) / ((fb + h) * (c - fa + h)) AS od FROM y)
+(CASE WHEN a > 0 THEN fa ELSE 0.5 END / c / (CASE WHEN b > 0 THEN fb ELSE 0.5 END / d) - 1) * 100 AS pd, (fa + h) * (d - fb + h) / ((fb + h) * (c - fa + h)) AS od FROM y)
 SELECT item, a, b, round(sg * greatest(0, g), 5) AS ll, round(sg * x2, 5) AS chi2, round(lr, 6) AS log_ratio, round(pd, 5) AS pct_diff, round(od, 5) AS odds FROM z {where}"""
 
 
@@ -169,14 +169,10 @@ def _keyness(df: DataFrame) -> DataFrame:
 
 @query(_keyness_sql("coalesce(lang = 'de', false)", ""))
 def keyness_all(spark, sf_dir):
-    w = words(spark, sf_dir, "lang")
+    s = relations.stream(words(spark, sf_dir, "lang"), "lang")
     german = F.coalesce(F.col("lang") == "de", F.lit(False))
-    return _keyness(stats.keyness(corpus.counts(w.where(german), "item"), corpus.counts(w.where(~german), "item"), direction="target", show_all=True).where("true").unionByName(_behind(w, german)))
-
-
-def _behind(w, german):
-    both = stats.keyness(corpus.counts(w.where(german), "item"), corpus.counts(w.where(~german), "item"), direction="both", show_all=True)
-    return both.where((F.col("log_ratio") <= 0) & (F.col("a") >= 3))
+    both = s.groupBy(F.col("word").alias("item")).agg(F.count_if(german).alias("a"), F.count_if(~german).alias("b"))
+    return _keyness(stats.keyness_of(both, direction="both", show_all=True).where("a >= 3"))
 
 
 @query(f"""WITH {_STREAM}, top AS (SELECT word FROM s GROUP BY word ORDER BY count(*) DESC, word LIMIT 200), t AS (SELECT lang, count(*)::DOUBLE AS t FROM s GROUP BY lang), a AS (SELECT sum(t) AS a FROM t),
@@ -199,7 +195,7 @@ def mattr_by_book(spark, sf_dir):
     return rounded(narrative.mattr(words(spark, sf_dir)))
 
 
-@query(f"""WITH {_STREAM}, {_SENT}, x AS (SELECT book, word, length(word) AS len, len(regexp_extract_all(word, '[aeiouy]+')) AS g, regexp_matches(word, '[^aeiouy]e$') AND NOT regexp_matches(word, 'le$') AS silent FROM s),
+@query(f"""WITH {_STREAM}, {_SENT}, x AS (SELECT book, word, length(word) AS len, len(regexp_extract_all(word, '[aeiouy]+')) AS g, regexp_matches(word, 'e$') AND NOT regexp_matches(word, '[le]e$') AS silent FROM s),
 y AS (SELECT book, word, count(*) AS n, sum(len) AS len, sum(greatest(1, g - (silent AND g > 1)::INT)) AS syl FROM x GROUP BY ALL),
 a AS (SELECT book, sum(n) AS words, count(*) AS types, count(*) FILTER (n = 1) AS hapax, sum(len) AS letters, sum(syl) AS syllables FROM y GROUP BY book),
 b AS (SELECT book, count(*) AS sentences, avg(len(ws)) AS m, stddev_pop(len(ws)) AS sd, avg(CASE WHEN mark = '?' THEN 1.0 WHEN mark IS NOT NULL THEN 0.0 END) AS q, list_sort(list(len(ws))) AS ls FROM sents WHERE len(ws) > 0 GROUP BY book)

@@ -12,10 +12,11 @@ from codexflow.sources import relations
 
 
 def test_p_values():
-    assert stats.upper_gamma(0.5, 3.841458820694124 / 2) == pytest.approx(0.05, abs=1e-9)
-    assert stats.upper_gamma(2.5, 11.070497693516351 / 2) == pytest.approx(0.05, abs=1e-9)
+    assert stats.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
+    assert stats.chi2_tail(11.070497693516351, 5) == pytest.approx(0.05, abs=1e-9)
+    assert stats.chi2_tail(5.991464547107979, 2) == pytest.approx(0.05, abs=1e-9)
     assert stats.critical(0.05) == pytest.approx(3.841458820694124, abs=1e-9)
-    assert stats.upper_gamma(1, 50) == pytest.approx(math.exp(-50))
+    assert stats.chi2_tail(100, 2) == pytest.approx(math.exp(-50))
 
 
 def test_keyness_keeps_significant_items_of_the_target(spark):
@@ -25,6 +26,18 @@ def test_keyness_keeps_significant_items_of_the_target(spark):
     assert [r.item for r in rows] == ["a"]
     both = {r.item: r for r in stats.keyness(target, reference, direction="both", show_all=True).collect()}
     assert set(both) == {"a", "b", "d"} and both["d"].ll < 0 and both["a"].odds_low < both["a"].odds < both["a"].odds_high
+    # a zero count is half a count: 100 * ((0.5 / 101) / (100 / 200) - 1)
+    assert both["d"].pct_diff == pytest.approx(100 * (0.5 / 101 / 0.5 - 1)) and both["a"].pct_diff == pytest.approx(100 * (50 / 101 / (5 / 200) - 1))
+    assert both["a"].p_ll < 1e-9 and both["b"].p_chi2 == pytest.approx(math.erfc(math.sqrt(abs(both["b"].chi2) / 2)))
+    strict = stats.keyness(spark.createDataFrame([("a", 12), ("b", 100)], "item string, n long"), spark.createDataFrame([("a", 3), ("b", 100)], "item string, n long"))
+    assert [r.item for r in strict.collect()] == ["a"]
+
+
+@pytest.mark.parametrize("word, n", [("argue", 1), ("table", 2), ("tree", 1), ("house", 1), ("idea", 2), ("the", 1), ("moorhen", 2), ("blue", 1)])
+def test_syllables(spark, word, n):
+    from codexflow.operators.narrative import syllables
+
+    assert spark.range(1).select(syllables(F.lit(word))).first()[0] == n
 
 
 def matches(words, items, at):
