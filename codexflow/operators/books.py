@@ -28,6 +28,131 @@ def token_view(corpus: Corpus) -> DataFrame:
     return out.withColumn("in_quote", F.coalesce("in_quote", F.lit(False)))
 
 
+def searchable(corpus: Corpus) -> DataFrame:
+    """Tokens with everything that a pattern can ask for: besides their own columns, the kinds, categories and
+    entities' names of the mentions that cover them (lists), the speaker's name, whether they are
+    in a quote, and their supersense."""
+    names = groups(corpus).select("book", "coref", "name")
+    covered = cover(corpus).join(corpus.mention.select("book", "mi", "prop"), ["book", "mi"]).join(names, ["book", "coref"], "left")
+    covered = covered.groupBy("book", "i").agg(F.collect_set("cat").alias("ent"), F.collect_set("prop").alias("prop"), F.collect_set("name").alias("char"))
+    said = spoken(corpus).join(names.select("book", F.col("coref").alias("char"), F.col("name").alias("speaker")), ["book", "char"], "left")
+    out = corpus.token.join(covered, ["book", "i"], "left").join(said.select("book", "i", "speaker", F.lit(True).alias("quote")), ["book", "i"], "left")
+    out = out.join(corpus.supersense, ["book", "i"], "left")
+    return out.withColumn("quote", F.coalesce("quote", F.lit(False)))
+
+
+SCOPES = ("all", "narration", "dialogue", "speech")
+
+
+def in_scope(corpus: Corpus, scope: str = "all", speakers: DataFrame | None = None) -> DataFrame:
+    """Tokens with a column ``inside``: all, those outside quotes, those in quotes, or those in quotes of the
+    groups (book, coref) of ``speakers``."""
+    if scope not in SCOPES or (scope == "speech") != (speakers is not None):
+        raise ValueError("scope is all, narration, dialogue, or speech of some speakers")
+    if scope == "all":
+        return corpus.token.withColumn("inside", F.lit(True))
+    said = spoken(corpus)
+    if scope == "speech":
+        said = said.join(speakers.select("book", F.col("coref").alias("char")).distinct(), ["book", "char"], "left_semi")
+    rows = corpus.token.join(said.select("book", "i", F.lit(True).alias("said")), ["book", "i"], "left")
+    said = F.coalesce("said", F.lit(False))
+    return rows.withColumn("inside", ~said if scope == "narration" else said).drop("said")
+
+
+UNITS = {
+    "lemma": lambda case: F.lower("lemma"),
+    "word": lambda case: F.col("word") if case else F.lower("word"),
+    "word_pos": lambda case: F.concat_ws("_", F.col("word") if case else F.lower("word"), F.col("pos")),
+    "full": lambda case: F.concat_ws("\t", F.col("word") if case else F.lower("word"), F.col("pos"), F.lower("lemma")),
+    "pos": lambda case: F.col("pos"),
+}
+
+
+def items(corpus: Corpus, unit: str = "word", case: bool = False, scope: str = "all", speakers: DataFrame | None = None, pos: tuple[str, ...] = (), tags: tuple[str, ...] = (), ents: tuple[str, ...] = (), runs: bool = False, within_sentence: bool = False, punctuation: bool = False) -> DataFrame:
+    """(book, ws): the items of the words in scope, in order, for every operator that counts words.
+
+    An item is the word, its lemma, word and class, all three, or the class.  ``pos``, ``tags`` and
+    ``ents`` leave words of these classes, tags, or in a mention of these categories.  With ``runs``
+    a row is a run of words that no token out of scope interrupts (nor a sentence's end, if
+    asked for), so that n-grams do not reach over gaps."""
+    from pyspark.sql.window import Window as W
+
+    rows = in_scope(corpus, scope, speakers)
+    if runs:
+        order = W.partitionBy("book").orderBy("i")
+        rows = rows.withColumn("run", F.sum((~F.col("inside")).cast("long")).over(order))
+    rows = rows.where("inside") if punctuation else rows.where("inside and isword")
+    if pos:
+        rows = rows.where(F.col("pos").isin(*pos))
+    if tags:
+        rows = rows.where(F.col("tag").isin(*tags))
+    if ents:
+        rows = rows.join(cover(corpus).where(F.col("cat").isin(*ents)).select("book", "i").distinct(), ["book", "i"], "left_semi")
+    keys = ["book", *(["run"] if runs else []), *(["sent"] if within_sentence else [])]
+    listed = F.array_sort(F.collect_list(F.struct("i", UNITS[unit](case).alias("item"))))
+    return rows.groupBy(*keys).agg(F.transform(listed, lambda x: x["item"]).alias("ws")).select("book", "ws")
+
+
+def quote_keys(corpus: Corpus, tokens: int = 30, letters: int = 120) -> DataFrame:
+    """(book, qi, key): a name for a quote that outlives a new export: its first words in lower case, quotation
+    marks aside, and the number of the quote among those that begin alike."""
+    rows = corpus.quote.select("book", "qi", F.explode(F.sequence("start", F.least("end", F.col("start") + tokens - 1))).alias("i"))
+    return _keys(corpus, rows, "qi", letters)
+
+
+def paragraph_keys(corpus: Corpus, tokens: int = 15, letters: int = 80) -> DataFrame:
+    """(book, para, key): the same for paragraphs, by their first words."""
+    rows = corpus.spans("para").select("book", "para", F.explode(F.sequence("s", F.least("e", F.col("s") + tokens - 1))).alias("i"))
+    return _keys(corpus, rows, "para", letters)
+
+
+def _keys(corpus: Corpus, rows: DataFrame, of: str, letters: int) -> DataFrame:
+    from pyspark.sql.window import Window as W
+
+    words = rows.join(corpus.token.select("book", "i", F.lower("word").alias("w")), ["book", "i"])
+    plain = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: ~x["w"].isin(*QUOTE_MARKS)), lambda x: x["w"])
+    texts = words.groupBy("book", of).agg(F.substring(F.array_join(plain, " "), 1, letters).alias("text"))
+    number = F.row_number().over(W.partitionBy("book", "text").orderBy(of))
+    return texts.select("book", of, F.concat("text", F.lit("#"), number.cast("string")).alias("key"))
+
+
+def words_in(corpus: Corpus, members: DataFrame) -> int:
+    """Words of the books that hold the groups of ``members``, each book once."""
+    books_ = members.select("book").distinct()
+    return corpus.token.where("isword").join(books_, "book", "left_semi").count()
+
+
+def forms(corpus: Corpus, members: DataFrame, top: int = 25) -> DataFrame:
+    """(prop, form, n, rank): the most frequent forms of the groups' mentions of each kind; pronouns in lower case."""
+    from pyspark.sql.window import Window as W
+
+    form = F.when(F.col("prop") == "PRON", F.lower("text")).otherwise(F.col("text"))
+    rows = corpus.mention.join(members.select("book", "coref").distinct(), ["book", "coref"], "left_semi")
+    counted = rows.groupBy("prop", form.alias("form")).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("prop").orderBy(F.col("n").desc(), "form"))
+    return counted.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def presence(corpus: Corpus, members: DataFrame, bins: int = 100) -> DataFrame:
+    """(book, bin, n): mentions of the groups along each book, by the place of their first token."""
+    rows = corpus.mention.join(members.select("book", "coref").distinct(), ["book", "coref"], "left_semi")
+    rows = rows.join(corpus.sizes.select("book", "n_tokens"), "book")
+    place = F.least(F.lit(bins - 1), F.floor(bins * F.col("start") / F.col("n_tokens"))).cast("int")
+    return rows.groupBy("book", place.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def context_of(corpus: Corpus, book: str, start: int, end: int, longest: int = 400, around: int = 150) -> DataFrame:
+    """Tokens of the paragraph of a hit, with whether they are in it; of a longer one than ``longest``, those
+    within ``around`` tokens."""
+    para = corpus.token.where((F.col("book") == book) & (F.col("i") == start)).select("book", "para")
+    rows = corpus.token.join(para, ["book", "para"], "left_semi")
+    near = (F.lit(start - around) <= F.col("i")) & (F.col("i") < F.lit(end + around))
+    from pyspark.sql.window import Window as W
+
+    rows = rows.withColumn("size", F.count("*").over(W.partitionBy("book", "para"))).where((F.col("size") <= longest) | near)
+    return rows.select("book", "i", "word", F.col("i").between(start, end - 1).alias("hit"))
+
+
 def groups(corpus: Corpus) -> DataFrame:
     """Coreference groups: type (most frequent category, ties to the first seen), name and counts.  The
     name is the book's own, else the most frequent proper, nominal or pronominal form."""

@@ -49,15 +49,18 @@ def sentences(documents: DataFrame, *carry: str) -> DataFrame:
 
 
 def bases(sizes: DataFrame, key: str = "book", size: str = "n", buckets: int = 1024) -> DataFrame:
-    """The sum of sizes before each key.  Keys are put into ranges of equal width first, so
-    that a window over all rows is only one over the ranges' sums."""
+    """The sum of sizes before each key.  Keys are put into ranges first (of equal width, or
+    by the first letters of names), so that a window over all rows is only one over the ranges' sums."""
     ends = sizes.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     if ends["lo"] is None:
         return sizes.select(key, F.lit(0).cast("long").alias("base"))
     from pyspark.sql.window import Window as W
 
-    width = max(1, -(-(ends["hi"] - ends["lo"] + 1) // buckets))
-    ranged = sizes.select(key, size, F.floor((F.col(key) - ends["lo"]) / width).alias("range"))
+    if isinstance(ends["lo"], str):
+        part = F.substring(key, 1, 3)
+    else:
+        part = F.floor((F.col(key) - ends["lo"]) / max(1, -(-(ends["hi"] - ends["lo"] + 1) // buckets)))
+    ranged = sizes.select(key, size, part.alias("range"))
     sums = ranged.groupBy("range").agg(F.sum(size).alias("n_range"))
     before = sums.select("range", F.coalesce(F.sum("n_range").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum(size).over(W.partitionBy("range").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

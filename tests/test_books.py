@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from codexflow.operators import books, network
+from codexflow.operators import books, corpus, network, pattern
 from codexflow.sources import annotated
 
 HEAD = "paragraph_ID\tsentence_ID\ttoken_ID_within_sentence\ttoken_ID_within_document\tword\tlemma\tbyte_onset\tbyte_offset\tPOS_tag\tfine_POS_tag\tdependency_relation\tsyntactic_head_ID\tevent"
@@ -146,3 +146,70 @@ def test_chapters(spark, tmp_path):
 
 def test_a_book_without_headings_is_one_segment(tale):
     assert rows(books.chapters(tale), "seg", "s", "e") == [(0, 0, 19)]
+
+
+def test_scopes_units_and_filters(spark, tale):
+    words = lambda **o: sorted(tuple(r.ws) for r in books.items(tale, **o).collect())
+    told = ("anna", "opened", "and", "closed", "the", "door", "she", "was", "tired", "said", "tom")
+    assert words(scope="narration") == [told] and words(scope="dialogue") == [("come", "anna")]
+    assert words(scope="narration", runs=True) == [told[:9], told[9:]]  # the quote is a gap
+    assert words(scope="narration", runs=True, within_sentence=True) == [told[:6], ("said", "tom"), told[6:9]]
+    tom, anna = (spark.createDataFrame([("tale", n)], "book string, coref long") for n in (2, 1))
+    assert words(scope="speech", speakers=tom) == [("come", "anna")] and words(scope="speech", speakers=anna) == []
+    assert words(unit="lemma", pos=("VERB",)) == [("open", "close", "come", "say")]
+    assert words(unit="word_pos", case=True, ents=("FAC",)) == [("the_DET", "door_NOUN")]
+    assert words(unit="full", ents=("FAC",)) == [("the\tDET\tthe", "door\tNOUN\tdoor")] and words(unit="pos", tags=("NOUN",)) == [("NOUN",)]
+    with pytest.raises(ValueError):
+        books.items(tale, scope="speech")
+    counted = {r.word: r.n for r in corpus.wordlist(books.items(tale, unit="lemma", scope="narration")).collect()}
+    assert counted["open"] == 1 and sum(counted.values()) == 11
+
+
+def test_patterns_over_annotations(tale):
+    tokens = books.searchable(tale)
+    find = lambda q: [(r.i, r.end) for r in pattern.search(tokens, q).orderBy("i").collect()]
+    assert find('[char="Anna"]') == [(0, 1), (7, 8), (14, 15)] and find('[prop="PRON" & ent="PER"]') == [(7, 8)]
+    assert find('[speaker="Thomas" & pos="VERB"]') == [(12, 13)] and find('[quote="in"]{6}') == [(11, 17)]
+    assert find('[event="yes" & quote="out"]') == [(1, 2), (3, 4), (17, 18)] and find('[ss="noun.artifact"]') == [(5, 6)]
+    assert find('[ent="FAC"]+ [pos="PUNCT"]') == [(4, 7)] and find('[char!="Anna" & pos="PROPN"]') == [(18, 19)]
+
+
+def test_keys_forms_and_places(spark, tale):
+    anna = spark.createDataFrame([("tale", 1)], "book string, coref long")
+    assert rows(books.quote_keys(tale), "qi", "key") == [(0, "come , anna !#1")]
+    assert rows(books.paragraph_keys(tale), "para", "key") == [(0, "anna opened and closed the door . she was tired .#1"), (1, "come , anna ! said tom .#1")]
+    assert rows(books.forms(tale, anna), "prop", "form", "n") == [("PRON", "she", 1), ("PROP", "Anna", 2)]
+    assert rows(books.presence(tale, anna, bins=4), "bin", "n") == [(0, 1), (1, 1), (2, 1)] and books.words_in(tale, anna) == 13
+    assert rows(books.context_of(tale, "tale", 12, 13), "i", "hit") == [(i, i == 12) for i in range(11, 20)]
+    assert rows(books.context_of(tale, "tale", 12, 13, longest=5, around=2), "i") == [(i,) for i in range(11, 15)]
+
+
+def test_who_is_addressed(spark, tmp_path):
+    # " Well , Ann , good fellow , the man , go to Ann , sir . "
+    words = ['"', "Well", ",", "Ann", ",", "good", "fellow", ",", "the", "man", ",", "go", "to", "Bob", ",", "sir", ".", '"']
+    folder = tmp_path / "voc-20250101-000000"
+    write(folder, "voc", tokens=[(0, 0, w, w.lower(), "NOUN" if w.isalpha() else "PUNCT", "dep", 0) for w in words])
+    mentions = [(1, 3, 3, "PROP", "PER"), (2, 5, 6, "NOM", "PER"), (3, 8, 9, "NOM", "PER"), (4, 13, 13, "PROP", "PER"), (5, 15, 15, "NOM", "PER"), (6, 3, 3, "PROP", "LOC")]
+    (folder / "voc.entities").write_text("\n".join(["COREF\tstart_token\tend_token\tprop\tcat\ttext", *("\t".join(map(str, (*m, "x"))) for m in mentions)]))
+    (folder / "voc.quotes").write_text("quote_start\tquote_end\tchar_id\n0\t17\tNone\n")
+    # a name after a comma, a description between a comma and a full stop; no other description, nor a place
+    assert rows(books.vocatives(annotated.load(spark, str(tmp_path))), "coref") == [(1,), (5,)]
+
+
+def test_chapters_keep_a_gap(spark, tmp_path):
+    body = [("some", "DET"), ("words", "NOUN"), ("here", "ADV"), (".", "PUNCT")]
+    heads = lambda n: [("Chapter", "NOUN"), (str(n), "NUM")]
+    texts = [heads(1), body, heads(2), body, body, heads(3), body, [("G.", "PROPN"), ("K.", "PROPN"), ("C.", "PROPN")]]
+    tokens = []
+    for para, words in enumerate(texts):
+        tokens += [(para, para, word, word.lower(), pos, "dep", 0) for word, pos in words]
+    folder = tmp_path / "gap-20250101-000000"
+    write(folder, "gap", tokens=tokens)
+    for kind in ("quotes", "supersense", "book"):
+        (folder / f"gap.{kind}").unlink()
+    found = annotated.load(spark, str(tmp_path))
+    assert rows(books.headings(found), "para") == [(0,), (2,), (5,)]  # no signature
+    assert rows(books.chapters(found), "label") == [("Chapter 1",), ("Chapter 2",), ("Chapter 3",)]
+    # the second begins three words after the first, the third eight words after it
+    assert rows(books.chapters(found, min_words=5), "seg", "label") == [(0, "Chapter 1"), (1, "Chapter 3")]
+    assert len(rows(books.headings(found, numbered=False, caps=False, short=True), "para")) == 3

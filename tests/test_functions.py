@@ -74,11 +74,41 @@ def test_patterns_equal_backtracking(spark, query):
 
 
 def test_bad_patterns():
-    for text in ("", "[word=a]", '"a"?', '"a"{3,2}', '[pos="X"]', '"a"{11}'):
+    for text in ("", "[word=]", "[word=a", '[nothing="a"]', '"a"?', '"a"{3,2}', '"a"{11}'):
         with pytest.raises(pattern.PatternError):
             pattern.parse(text)
 
 
+def test_attributes_and_values(spark):
+    rows = [(1, 0, "She", "she", ["PER"], True, None), (1, 1, "said", "say", None, False, "Ann"), (1, 2, "It's", "it", [], False, "Ann"), (1, 3, "a*b", "a*b", ["LOC", "PER"], True, None)]
+    tokens = spark.createDataFrame(rows, "book long, i int, word string, lemma string, ent array<string>, event boolean, speaker string")
+    find = lambda q, **options: [(r.i, r.end) for r in pattern.search(tokens, q, **options).orderBy("i").collect()]
+    assert find("[lemma='say']") == find("[lemma=say]") == find('[LEMMA = "say" & word!=she]') == [(1, 2)]
+    assert find("[ent=per]") == [(0, 1), (3, 4)] and find("[ent!=per]") == [(1, 2), (2, 3)]
+    assert find("[event=yes]") == find("[event!=no]") == [(0, 1), (3, 4)] and find("[speaker=ann]{2}") == [(1, 3)]
+    plain = pattern.Matching(regex=False)
+    assert find("[word='s*|it?s']", matching=plain) == [(0, 1), (1, 2), (2, 3)]
+    assert find("[word='a*b']", matching=pattern.Matching(False, wildcards=False)) == [(3, 4)]
+    assert find("[word=she]", matching=pattern.Matching(case=True)) == [] and find("[lemma=SHE]", matching=pattern.Matching(case=True)) == [(0, 1)]
+    assert find("she # it's", simple=True) == [(0, 3)] and find("say", simple=True, match="lemma") == [(1, 2)]
+    with pytest.raises(pattern.PatternError):
+        find("[dep=x]")
+
+
+def test_overlapping_hits_are_dropped_from_left_to_right(spark):
+    rng = random.Random(12)
+    rows = [(b, i, i + rng.randint(1, 6)) for b in range(20) for i in sorted(rng.sample(range(60), 25))]
+    kept = []
+    for b in range(20):
+        free = 0
+        for _, i, end in (r for r in rows if r[0] == b):
+            if i >= free:
+                kept.append((b, i, end))
+                free = end
+    hits = spark.createDataFrame(rows, "book long, i int, end int")
+    assert sorted(map(tuple, pattern.leftmost(hits).collect())) == kept
+
+
 def test_mattr_equals_brute_force(spark):
     rng = random.Random(4)
     books = [(n, [rng.choice("abcdefgh") for _ in range(size)]) for n, size in enumerate((1, 9, 10, 11, 60))]
