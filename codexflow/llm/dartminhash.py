@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .graph import components, hot_keys, join_hot
 from .hashing import _ODD, U, batches_of, mix, shingles_of
-from .storage import Scratch
+from .storage import Scratch, lean, slices
 
 COORDINATES, BANDS, ROWS = 128, 25, 5
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -135,7 +135,7 @@ def least_agreement(threshold: float) -> int:
 def _sketch(batches):
     import xxhash
 
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = batch.column(0), [t.as_py() for t in batch.column(1)]
         raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
         for a, b in batches_of(raw):
@@ -150,7 +150,7 @@ def _sketch(batches):
 
 
 def _elements(batches):
-    for batch in batches:
+    for batch in slices(batches):
         ids = batch.column(0)
         raw = [(t.as_py() or "").lower().encode("utf-8", "replace") for t in batch.column(1)]
         for a, b in batches_of(raw):
@@ -254,7 +254,7 @@ def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8, piec
     """doc_id, class_id (smallest id of the class), copy_of (smallest id with the same
     text) and kept (whether this is the class's document) of every row."""
     texts = _texts(documents)
-    sketches = scratch.keep(texts.mapInArrow(_sketch, "doc_id long, digest binary, sig binary, size long, bands array<long>"), "sketches")
+    sketches = scratch.keep(texts.mapInArrow(lean(_sketch), "doc_id long, digest binary, sig binary, size long, bands array<long>"), "sketches")
     copies = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     own = F.col("doc_id") == F.col("rep")
     members = scratch.keep(sketches.join(copies, "digest", "left").select("doc_id", "rep", F.when(own, F.col("sig")).alias("sig"), "size", F.when(own, F.col("bands")).alias("bands")), "members")
@@ -269,7 +269,7 @@ def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8, piec
     held = scratch.keep(join_hot(entries, shared.select("key"), hot).distinct(), "buckets")
     wanted = held.select(F.col("rep").alias("wanted")).distinct()
     sigs = scratch.keep(members.where("sig is not null").join(wanted, F.col("rep") == F.col("wanted"), "left_semi").select("rep", "sig", "size", "bands").dropDuplicates(["rep"]), "signatures")
-    elements = scratch.keep(texts.join(wanted, texts["doc_id"] == wanted["wanted"], "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_elements, "doc_id long, elements array<long>"), "elements")
+    elements = scratch.keep(texts.join(wanted, texts["doc_id"] == wanted["wanted"], "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(lean(_elements), "doc_id long, elements array<long>"), "elements")
 
     def decide(pairs: DataFrame, name: str) -> DataFrame:
         """Links among pairs (hub, other).  The hub's elements come last, so that a hub
@@ -277,12 +277,12 @@ def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8, piec
         first = elements.select(F.col("doc_id").alias("other"), F.col("elements").alias("eb"))
         second = elements.select(F.col("doc_id").alias("hub"), F.col("elements").alias("ea"))
         both = pairs.join(first, "other").join(second, "hub").select("hub", "other", "ea", "eb")
-        return scratch.keep(both.mapInArrow(_compare, "hub long, other long, sim double").where(F.col("sim") >= threshold).select("hub", "other"), name)
+        return scratch.keep(both.mapInArrow(lean(_compare), "hub long, other long, sim double").where(F.col("sim") >= threshold).select("hub", "other"), name)
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
         first, second = sigs.select(F.col("rep").alias("other"), F.col("sig").alias("sb")), sigs.select(F.col("rep").alias("hub"), F.col("sig").alias("sa"))
         both = pairs.join(first, "other").join(second, "hub").select("hub", "other", "sa", "sb")
-        return scratch.keep(both.mapInArrow(_likely(need), "hub long, other long"), name)
+        return scratch.keep(both.mapInArrow(lean(_likely(need)), "hub long, other long"), name)
 
     # ids that come with several texts join the classes of these
     named = members.where("rep is not null").select("doc_id", "rep")
@@ -314,7 +314,7 @@ def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8, piec
     one = rows.where("stray").select("key", part("ni").alias("i"), every("nj").alias("j"), F.lit(0).alias("role"), *carry)
     two = rows.select("key", every("ni").alias("i"), part("nj").alias("j"), F.lit(1).alias("role"), *carry)
     work = one.unionByName(two).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role", "rep")
-    more = scratch.keep(work.mapInArrow(_rest(need, threshold), "a long, b long").distinct(), "more")
+    more = scratch.keep(work.mapInArrow(lean(_rest(need, threshold)), "a long, b long").distinct(), "more")
     scratch.drop(elements)
     out = members.select("doc_id", "rep").join(label.select(F.col("vertex").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     if not more.isEmpty():  # links between components join them

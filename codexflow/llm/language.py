@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .storage import Scratch, quoted, unused
+from .storage import Scratch, lean, quoted, unused
 
 BITS = 13
 SIZE = 1 << BITS
@@ -157,7 +157,7 @@ def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.array(part[2], pa.list_(pa.int32())), pa.array(part[3], pa.list_(pa.int32()))], ["lang", "is_whole", "at", "n"])
 
     scratch.drop(hashes)
-    table = scratch.keep(sample.mapInArrow(features, "lang string, is_whole boolean, at array<int>, n array<int>"), "features")
+    table = scratch.keep(sample.mapInArrow(lean(features), "lang string, is_whole boolean, at array<int>, n array<int>"), "features")
     whole = table.where("is_whole")
     idf = np.ones(SIZE, np.float32)
     docs = whole.count()
@@ -191,7 +191,7 @@ def fit(documents: DataFrame, scratch: Scratch, train: Column | None = None, per
                 yield pa.RecordBatch.from_arrays([pa.array(np.log2(counts.sum(axis=1)).astype(np.int32)), pa.array(best)], ["size", "cosine"])
 
     spread = table.select("at", "n").repartition(spark.sparkContext.defaultParallelism)
-    found = spread.mapInArrow(cosines, "size int, cosine double").groupBy("size").agg(F.percentile("cosine", F.lit(lowest)).alias("low"), F.count("*").alias("n")).collect()
+    found = spread.mapInArrow(lean(cosines), "size int, cosine double").groupBy("size").agg(F.percentile("cosine", F.lit(lowest)).alias("low"), F.count("*").alias("n")).collect()
     # too few passages of a length do not tell what so few of them fall below: these get a margin
     low = {r["size"]: r["low"] * (1.0 if r["n"] * lowest >= 1 else margin) for r in found}
     least, above = np.zeros(40), np.inf
@@ -221,7 +221,7 @@ def verdicts(documents: DataFrame, model: Model, carry: list[Column], name: str)
     names = rows.schema["row"].dataType.names
     if len({n.lower() for n in [*names, name]}) <= len(names):
         raise ValueError(f"a carried column has the name {name}, or two have the same")
-    out = rows.mapInArrow(predict, T.StructType([rows.schema["row"], T.StructField("said", T.StructType.fromDDL("lang_pred string, score double, rejected boolean"))]))
+    out = rows.mapInArrow(lean(predict), T.StructType([rows.schema["row"], T.StructField("said", T.StructType.fromDDL("lang_pred string, score double, rejected boolean"))]))
     return out.select(*[F.col("row")[n].alias(n) for n in names], F.col("said").alias(name))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .storage import Scratch
+from .storage import Scratch, lean
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, task int, closed boolean"
 _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "task", "closed"]
@@ -123,7 +123,7 @@ def pack(documents: DataFrame, scratch: Scratch, tokenizer_path: str, end_id: in
             yield _batch(rows[at : at + 50_000])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    done = scratch.keep(rows.mapInArrow(first, PIECES), "packed")
+    done = scratch.keep(rows.mapInArrow(lean(first), PIECES), "packed")
     parts = [done.where("closed")]
     left = done.where("not closed")
     last = left.agg(F.max("task")).first()[0]
@@ -160,7 +160,7 @@ def pack(documents: DataFrame, scratch: Scratch, tokenizer_path: str, end_id: in
 
         stream = left.withColumn("pack_group", F.floor(F.col("task") / fan_in).cast("int"))
         stream = stream.repartition(groups, "pack_group").sortWithinPartitions("pack_group", "task", "sequence_id", "offset").select("pack_group", *_NAMES[:5])
-        packed = scratch.keep(stream.mapInArrow(again, PIECES), f"repacked{level}")
+        packed = scratch.keep(stream.mapInArrow(lean(again), PIECES), f"repacked{level}")
         parts.append(packed.where("closed"))
         left, last = packed.where("not closed"), None if final else groups - 1
     out = parts[0]

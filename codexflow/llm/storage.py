@@ -8,10 +8,13 @@ one machine is not seen by the others.
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,29 @@ def spread(files: DataFrame, size: str, most: int) -> DataFrame:
     return files.repartition(max(1, min(found["n"], max(4 * cores, -(-(found["size"] or 0) // most)))))
 
 
+def lean(function: Callable) -> Callable:
+    """A function for ``mapInArrow`` that gives freed memory back to the system at a partition's
+    end, since Spark keeps the Python workers of one stage, and what they hold, for the next."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
+def slices(batches, rows: int = 512):
+    """Batches of at most so many rows, so that copies of their values are small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def open_out(uri: str):
     """A binary output stream at a URI, from an executor."""
     from pyarrow import fs

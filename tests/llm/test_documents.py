@@ -568,3 +568,16 @@ def test_components_of_chains_stars_and_rings(spark):
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()))
     wanted = {n: 0 for n in range(301)} | {n: 1000 for n in range(1000, 1100)} | {n: 2000 for n in range(2000, 2050)}
     assert got == wanted
+
+
+def test_lean_functions_give_the_same_batches_and_slices_lose_no_row():
+    import pyarrow as pa
+
+    from codexflow.llm.storage import lean, slices
+
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(a, b))}) for a, b in ((0, 0), (0, 700), (700, 701), (701, 1725))]
+    cut = list(lean(slices)(iter(batches)))
+    assert [n for b in cut for n in b.column(0).to_pylist()] == list(range(1725))
+    assert max(b.num_rows for b in cut) == 512
+    with pytest.raises(ZeroDivisionError):
+        list(lean(lambda found: (1 // 0 for _ in found))(iter(batches)))
