@@ -255,10 +255,11 @@ def classes(documents: DataFrame, scratch: Scratch, threshold: float = 0.8, piec
     text) and kept (whether this is the class's document) of every row."""
     texts = _texts(documents)
     sketches = scratch.keep(texts.mapInArrow(lean(_sketch), "doc_id long, digest binary, sig binary, size long, bands array<long>"), "sketches")
-    copies = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # a written table: both sides of the join are then plain shuffles, of which Spark splits the partition of a text with very many copies
+    copies = scratch.keep(sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
     own = F.col("doc_id") == F.col("rep")
     members = scratch.keep(sketches.join(copies, "digest", "left").select("doc_id", "rep", F.when(own, F.col("sig")).alias("sig"), "size", F.when(own, F.col("bands")).alias("bands")), "members")
-    scratch.drop(sketches)
+    scratch.drop(sketches, copies)
     need = least_agreement(threshold)
 
     # Buckets of at least two classes.
